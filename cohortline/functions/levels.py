@@ -33,7 +33,8 @@ def band_floor(c, width: int = 10, low_bands: Sequence[tuple[float, int]] = (),
     rest falls in bands of ``width``, and everything from ``cap`` upwards is one band.
     """
     c = col(c)
-    regular = F.least((F.floor(c / width) * width).cast("int"), F.lit(cap))
+    # least() skips NULLs, so a missing value needs its own guard
+    regular = F.when(c.isNotNull(), F.least((F.floor(c / width) * width).cast("int"), F.lit(cap)))
     if not low_bands:
         return regular
     out = F.when(c.isNull(), F.lit(None).cast("int"))
