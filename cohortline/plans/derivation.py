@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortline.config import StudyConfig
 from cohortline.functions.dates import days_between, in_lag, shift_days
-from cohortline.functions.levels import band, band_floor, collapse, interaction, within_band
+from cohortline.functions.levels import band, band_floor, band_labels, collapse, interaction, within_band
 from cohortline.functions.values import all_of, first_known, flag, masked, null_or, null_or_in
 from cohortline.operators.joins import days_since_first
 from cohortline.operators.selection import Step, apply_steps, complete_cases
@@ -167,7 +167,7 @@ def known_exposure(df: DataFrame) -> DataFrame:
 
 def exposure_interactions(df: DataFrame) -> DataFrame:
     """Exposure × vaccination and exposure × age keys, unexposed or unvaccinated collapsed."""
-    labels = [b for b in _age_labels()]
+    labels = band_labels(fixed.AGE_BREAKS)
     by_dose_type = interaction("omicron", "dose_type")
     om_age = collapse(interaction("omicron", "ageband"), {"Delta": [f"0.{b}" for b in labels]})
     children = {"1.[0,10)": [f"1.{b}" for b in labels[:3]]}
@@ -189,12 +189,6 @@ def exposure_interactions(df: DataFrame) -> DataFrame:
     )
 
 
-def _age_labels() -> list[str]:
-    from cohortline.functions.levels import band_labels
-
-    return band_labels(fixed.AGE_BREAKS)
-
-
 def age_within_band(df: DataFrame, floor_col: str = "ageband1", age: str = "age") -> DataFrame:
     inside = within_band(age, floor_col)
     return df.withColumns(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,13 @@ from cohortline.operators.design import Term, design_columns, factor, factor_lev
 from cohortline.operators.hazard import Patterns, collapse_patterns, fit_hazards, hazard_table, side_by_side
 from cohortline.operators.tables import count_table, stacked_levels
 from cohortline.plans import fixed
-from cohortline.plans.derivation import age_within_band, follow_up_days, phase_shifted_date, survival_columns
+from cohortline.plans.derivation import (
+    age_within_band,
+    exposure_interactions,
+    follow_up_days,
+    phase_shifted_date,
+    survival_columns,
+)
 
 INDEX = "last_specimen_date"
 STATUS = within("vaccinated", "reinfection_flag")
@@ -45,7 +51,9 @@ class ModelSpec:
     def terms(self, endpoint: str | None = None) -> list[Term]:
         exposure = number("omicron") if self.exposure == "omicron" else factor(self.exposure)
         body = [exposure, self.status, DEPRIVATION, SEX, *self.extra, AGE_TREND]
-        out = [t for t in body if t not in self.without]
+        # single variables come before products, as the column order decides which of two
+        # dependent columns is the redundant one
+        out = sorted((t for t in body if t not in self.without), key=lambda t: len(t.columns()))
         if endpoint is None:
             return out
         fill = lambda c: c.format(endpoint=endpoint) if c else c
@@ -122,19 +130,13 @@ def model_frame(df: DataFrame, spec: ModelSpec, age_set: str = "allage") -> Data
         om, dlt = spec.definition
         df = df.withColumns({"omicron": F.col(om), "delta": F.col(dlt)})
         df = df.where((F.col("omicron") == 1) | (F.col("delta") == 1))
-        df = _exposure_by_age(df)
+        df = exposure_interactions(df)
     df = df.withColumn("om_age", F.col("om_age3") if spec.fine else F.col("om_age1"))
     df = age_within_band(df, "ageband3" if spec.fine else "ageband1")
     past = {"No past infection": ["0.0", "0.1"], "Past infection:Delta": ["1.0"], "Past infection:Omicron": ["1.1"]}
     return df.withColumn("reinf_var", collapse(interaction("reinfection_flag", "omicron"), past))
 
 
-def _exposure_by_age(df: DataFrame) -> DataFrame:
-    from cohortline.plans.derivation import exposure_interactions
-
-    return exposure_interactions(df)
-
-
 def _stratum(spec: ModelSpec, event: Column) -> Column:
     if not spec.shift:
         return interaction(*spec.strata)
