@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortline.config import StudyConfig
 from cohortline.functions.levels import collapse, interaction, strip_labels
 from cohortline.operators.design import Term, design_columns, factor, factor_levels, known_terms, number, term_columns, within
-from cohortline.operators.hazard import Patterns, collapse_patterns, fit_hazards, hazard_table, side_by_side
+from cohortline.operators.hazard import EPS, Patterns, collapse_patterns, fit_hazards, hazard_table, side_by_side
 from cohortline.operators.tables import count_table, stacked_levels
 from cohortline.plans import fixed
 from cohortline.plans.derivation import (
@@ -256,7 +256,9 @@ def exposure_counts(df: DataFrame, endpoints: Sequence[str] = fixed.TABLE_ENDPOI
     return count_table(df, table_variables(), "omicron", {0: "delta", 1: "omicron"}, table_endpoints(endpoints), declared)
 
 
-def unadjusted_hazards(df: DataFrame, cfg: StudyConfig, endpoints: Sequence[str] | None = None, variables: Mapping[str, Column] | None = None) -> DataFrame:
+def unadjusted_hazards(
+    df: DataFrame, cfg: StudyConfig, endpoints: Sequence[str] | None = None, variables: Mapping[str, Column] | None = None, eps: float = EPS
+) -> DataFrame:
     """Unadjusted hazard ratio of the exposure for every level of every variable.
 
     All (variable, level, endpoint) fits share one collapse and one Newton loop.
@@ -271,15 +273,17 @@ def unadjusted_hazards(df: DataFrame, cfg: StudyConfig, endpoints: Sequence[str]
         F.col("surv_time"), F.col("surv_status"),
     )
     parts = F.split("fit", "\u0001")
-    return fit_hazards(patterns).select(
+    return fit_hazards(patterns, eps=eps).select(
         parts[0].alias("variable"), parts[1].alias("level"), parts[2].alias("endpoint"), "term", "estimate", "se", "n", "n_event"
     )
 
 
-def table_with_hazards(df: DataFrame, cfg: StudyConfig, endpoints: Sequence[str] | None = None, table_cols: Sequence[str] = fixed.TABLE_ENDPOINTS) -> DataFrame:
+def table_with_hazards(
+    df: DataFrame, cfg: StudyConfig, endpoints: Sequence[str] | None = None, table_cols: Sequence[str] = fixed.TABLE_ENDPOINTS, eps: float = EPS
+) -> DataFrame:
     """Count table with the unadjusted hazard ratio of each row next to it."""
     endpoints = list(endpoints or cfg.endpoints)
-    ratios = hazard_table(unadjusted_hazards(df, cfg, endpoints), fixed.CI_WIDTH)
+    ratios = hazard_table(unadjusted_hazards(df, cfg, endpoints, eps=eps), fixed.CI_WIDTH)
     wide = side_by_side(ratios, ["variable", "level"], "endpoint", endpoints, ["mean", "l95", "u95", "label"])
     counts = exposure_counts(df, table_cols)
     return counts.join(wide, ["variable", "level"], "left")
