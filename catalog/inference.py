@@ -225,7 +225,7 @@ def cox_univariate(p):
     variables = {"all": F.lit("all"), "segment": F.col("c_mktsegment"), "year": F.col("order_year").cast("string")}
     stacked = stacked_levels(p.survival, variables, ["surv_time", "surv_status", "x"])
     patterns = collapse_patterns(
-        stacked, ["x"], [("x", F.col("x").cast("double"))], interaction("variable", "level", sep=":"), F.lit("all"),
+        stacked, [number("x")], interaction("variable", "level", sep=":"), F.lit("all"),
         F.col("surv_time"), F.col("surv_status"),
     )
     fits = fit_hazards(patterns, eps=TIGHT)
@@ -239,7 +239,7 @@ SELECT k AS fit, round(b, 6) AS estimate, round(se, 6) AS se FROM fit""",
 )
 def cox_stratified_single(p):
     patterns = collapse_patterns(
-        p.survival, ["x"], [("x", F.col("x").cast("double"))], F.lit("all"), interaction("c_mktsegment", "order_year"),
+        p.survival, [number("x")], F.lit("all"), interaction("c_mktsegment", "order_year"),
         F.col("surv_time"), F.col("surv_status"),
     )
     fits = fit_hazards(patterns, eps=TIGHT)
@@ -355,7 +355,7 @@ def auc(p):
 def bootstrap_hazards(p):
     """All replicates of the imputed model at once, summarised per term."""
     cfg = CASES.variant(endpoints=("hosp", "dead"))
-    spec = models.ModelSpec("sev_coarse_imputed", ("NHSER_name", "dose_vacc"), "omicron", status=within("vaccinated", "{endpoint}_reinf_rand"))
+    spec = models.ModelSpec("sev_coarse_imputed", ("NHSER_name", "dose_vacc"), "omicron", status=within("vaccinated", "reinf_rand_var"), by_endpoint=models.IMPUTED_STATUS)
     strata = ["ageband", "dose_vacc", "omicron"]
     fits = ascertainment.bootstrap_under_ascertainment(p.derived, cfg, ["case_id"], 5, strata=strata, spec=spec)
     return ascertainment.bootstrap_report(fits, ["hosp", "dead"])

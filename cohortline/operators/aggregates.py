@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.functions.values import any_of
-
 
 def count_and_latest(df: DataFrame, key: str, date: str, n: str = "n", latest: str = "latest") -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias(n), F.max(date).alias(latest))
@@ -41,6 +39,7 @@ def roll_up_outcomes(
     start: str,
     end: str,
     counted_only: Sequence[str] = (),
+    carry: Sequence[str] = (),
     weight: str = "n_stays",
     rank_sum: str = "rank_sum",
     rank_missing: str = "rank_missing",
@@ -49,22 +48,26 @@ def roll_up_outcomes(
     """Wide roll-up of flagged events to one row per entity.
 
     Per outcome: number of events, earliest start and earliest end among the events
-    that meet it; over all kept events the mean rank (NULL when any rank is missing).
+    that meet it; over the events that meet any the mean rank (NULL when one of those
+    ranks is missing). Without ``carry`` only entities with such an event are returned.
+    With ``carry`` (columns constant within an entity) every entity is, so an index
+    list left-joined to its events is rolled up in the stage that joined it.
     """
     names = [*outcomes, *counted_only]
-    kept = df.where(any_of([F.col(o) == 1 for o in names]))
-    aggs: list[Column] = [F.sum(F.col(o) * F.col(weight)).alias(o) for o in names]
+    kept = " OR ".join(f"`{o}` = 1" for o in names)
+    aggs = [F.expr(f"sum(`{o}` * `{weight}`)").alias(o) for o in names]
     for o in outcomes:
-        met = F.col(o) == 1
-        aggs.append(F.min(F.when(met, F.col(start))).alias(f"{o}_date"))
-        aggs.append(F.min(F.when(met, F.col(end))).alias(f"{o}_out_date"))
-    aggs.append(
-        F.when(
-            F.sum(rank_missing) == 0,
-            F.sum(rank_sum) / F.sum(weight),
-        ).alias(rank_name)
-    )
-    return kept.groupBy(key).agg(*aggs)
+        aggs.append(F.expr(f"min(IF(`{o}` = 1, `{start}`, NULL))").alias(f"{o}_date"))
+        aggs.append(F.expr(f"min(IF(`{o}` = 1, `{end}`, NULL))").alias(f"{o}_out_date"))
+    if carry:
+        aggs.insert(0, F.first(F.struct(*carry)).alias("_carried"))
+    else:
+        df = df.where(kept)
+    known = f"sum(IF({kept}, `{rank_missing}`, 0)) = 0"
+    mean = f"sum(IF({kept}, `{rank_sum}`, 0)) / nullif(sum(IF({kept}, `{weight}`, 0)), 0)"
+    aggs.append(F.expr(f"IF({known}, {mean}, NULL)").alias(rank_name))
+    rolled = df.groupBy(key).agg(*aggs)
+    return rolled.select(key, "_carried.*", *rolled.columns[2:]) if carry else rolled
 
 
 def collapse_records(df: DataFrame, keys: Sequence[str], rank: str) -> DataFrame:

@@ -8,15 +8,16 @@ the same covariates (endpoints, replicates, table levels) share the jobs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.operators import risksets
+from cohortline.operators.design import Term, design_columns, factor_levels, known_terms, term_columns
 from cohortline.operators.joins import HOT_ROWS, hot_keys
 from cohortline.sources.storage import cut_lineage
 
@@ -44,50 +45,49 @@ class Patterns:
 
 def collapse_patterns(
     df: DataFrame,
-    covariates: Sequence[str],
-    design: Sequence[tuple[str, Column]],
+    terms: Sequence[Term],
     fit: Column,
     stratum: Column,
     time: Column,
     event: Column,
     weight: Column | None = None,
+    reference: Mapping[str, str] | None = None,
     max_stratum: int = HOT_ROWS,
     buckets: int | None = None,
 ) -> Patterns:
     """Reduce records to weighted patterns and lay them out by stratum.
 
-    Strata without events add nothing to any sum and are dropped. A stratum with more
-    than ``max_stratum`` patterns is spread over all buckets and finished in a second
-    stage, so no task holds it whole.
+    The records are read once: levels, strata and the layout all come from the
+    patterns. Strata without events add nothing to any sum and are dropped. A stratum
+    with more than ``max_stratum`` patterns is spread over all buckets and finished in
+    a second stage, so no task holds it whole.
     """
     weight = F.lit(1) if weight is None else weight
-    spark = df.sparkSession
-    rows = df.select(
+    spark, covariates = df.sparkSession, term_columns(terms)
+    rows = df.where(known_terms(terms)).select(
         fit.cast("string").alias("fit"), stratum.cast("string").alias("stratum"),
         time.cast("double").alias("time"), event.cast("int").alias("event"),
         weight.alias("weight"), *covariates,
     ).where("stratum IS NOT NULL AND time IS NOT NULL")
     key = ["fit", "stratum"]
-    collapsed = rows.groupBy(*key, "time", "event", *covariates).agg(F.sum("weight").cast("double").alias("weight"))
-    sizes = collapsed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("event").alias("any_event"))
-    with_event = sizes.where("any_event = 1").select(*key)
-    informative = collapsed.join(with_event, key, "left_semi")
-    x = F.array(*[c for _, c in design]).alias("x")
-    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    large = cut_lineage(hot_keys(sizes.where("any_event = 1"), key, rows=max_stratum))
-    split = not large.isEmpty()
-    whole = F.pmod(F.xxhash64("fit", "stratum"), F.lit(n_buckets))
-    if split:
-        marks = F.broadcast(large.withColumn("large", F.lit(True)))  # bounded, see hot_keys
-        informative = informative.join(marks, key, "left").withColumn("large", F.coalesce("large", F.lit(False)))
-        spread = F.pmod(F.xxhash64("fit", "stratum", "time", "event", *covariates), F.lit(n_buckets))
-        bucket = F.when(F.col("large"), spread).otherwise(whole)
-    else:
-        informative = informative.withColumn("large", F.lit(False))
-        bucket = whole
-    table = informative.select(*key, "time", "event", "weight", "large", x, bucket.cast("int").alias("bucket"))
-    table = cut_lineage(table.repartition(n_buckets, "bucket").drop("bucket"))
-    return Patterns(table, tuple(label for label, _ in design), split)
+    collapsed = rows.groupBy(*key, "time", "event", *covariates).agg(F.sum("weight").cast("double").alias("weight")).persist()
+    try:
+        design = design_columns(terms, factor_levels(collapsed, terms, reference or {}))
+        sizes = collapsed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("event").alias("any_event"))
+        sizes = sizes.where("any_event = 1").select(*key, "n")
+        n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # bounded, see hot_keys; the list also tells whether the second stage is needed
+        large = [tuple(r) for r in hot_keys(sizes, key, rows=max_stratum).collect()]
+        informative = collapsed.join(sizes.select(*key), key, "left_semi")
+        is_large = F.struct(*key).isin([F.struct(*[F.lit(v) for v in k]) for k in large]) if large else F.lit(False)
+        spread = F.xxhash64("fit", "stratum", "time", "event", *covariates)
+        bucket = F.pmod(F.when(is_large, spread).otherwise(F.xxhash64(*key)), F.lit(n_buckets)).cast("int")
+        x = F.array(*[c for _, c in design]).alias("x")
+        table = informative.select(*key, "time", "event", "weight", is_large.alias("large"), x, bucket.alias("bucket"))
+        table = cut_lineage(table.repartition(n_buckets, "bucket").drop("bucket"))
+    finally:
+        collapsed.unpersist()
+    return Patterns(table, tuple(label for label, _ in design), bool(large))
 
 
 _PART_SCHEMA = "fit string, part string, time double, v array<double>"

@@ -27,7 +27,7 @@ from cohortline.functions.values import (
 )
 from cohortline.operators.aggregates import collapse_records, latest_event, latest_record, roll_up_outcomes, widen
 from cohortline.operators.assays import resolve_conflicts, threshold_call
-from cohortline.operators.joins import accept_in_window, link_events, link_lookup, link_many, move_to_late_record, recency_flag
+from cohortline.operators.joins import accept_in_window, link_lookup, link_many, move_to_late_record, recency_flag
 from cohortline.plans import fixed
 
 KEY = "finalid"
@@ -244,23 +244,19 @@ def flag_stays(df: DataFrame, cfg: StudyConfig) -> DataFrame:
     return df.withColumns({name: flag(rule) for name, rule in stay_rules(cfg).items()})
 
 
-def stay_outcomes(ll: DataFrame, stays: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """Per person: number of stays meeting each outcome, earliest dates, mean rank.
+def link_stays(ll: DataFrame, stays: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """Per person: whether each outcome was met, earliest dates, mean rank.
 
-    Stays that look alike collapse first; a person with very many of them meets the
-    index list with at most one row per distinct stay.
+    Stays that look alike collapse first, so a person with very many of them meets the
+    index list with at most one row per distinct stay. Join and roll-up share the
+    partitioning on the person key, and the index list is computed once.
     """
     shapes = collapse_records(stays, [KEY, "hospital_in", "hospital_out", "admitted", "died_in_stay"], "hospital_event_rank")
-    matched = link_events(ll.select(KEY, INDEX), shapes, KEY, KEY, "hospital_in")
-    flagged = flag_stays(stay_lags(matched), cfg)
-    return roll_up_outcomes(flagged, KEY, fixed.STAY_OUTCOMES, "hospital_in", "hospital_out", ["past_hosp"])
-
-
-def link_stays(ll: DataFrame, stays: DataFrame, cfg: StudyConfig) -> DataFrame:
-    ll = link_lookup(ll, stay_outcomes(ll, stays, cfg), KEY)
-    ll = ll.withColumns({o: clamp_count(o) for o in fixed.STAY_OUTCOMES})
-    ll = ll.withColumn("past_hosp", default_to("past_hosp", 0))
-    return ll.where(F.col("past_hosp") == 0) if cfg.drop_prior_stays else ll
+    flagged = flag_stays(stay_lags(ll.join(shapes, KEY, "left")), cfg)
+    carried = [c for c in ll.columns if c != KEY]
+    out = roll_up_outcomes(flagged, KEY, fixed.STAY_OUTCOMES, "hospital_in", "hospital_out", ["past_hosp"], carried)
+    out = out.withColumns({**{o: clamp_count(o) for o in fixed.STAY_OUTCOMES}, "past_hosp": default_to("past_hosp", 0)})
+    return out.where(F.col("past_hosp") == 0) if cfg.drop_prior_stays else out
 
 
 def censor_after_index(df: DataFrame, numbers=tuple(fixed.DOSE_NUMBERS), index: str = INDEX) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortline.config import StudyConfig
 from cohortline.functions.levels import collapse, interaction, strip_labels
-from cohortline.operators.design import Term, design_columns, factor, factor_levels, known_terms, number, term_columns, within
+from cohortline.operators.design import Term, factor, number, term_columns, within
 from cohortline.operators.hazard import EPS, Patterns, collapse_patterns, fit_hazards, hazard_table, side_by_side
 from cohortline.operators.tables import count_table, stacked_levels
 from cohortline.plans import fixed
@@ -33,8 +33,8 @@ class ModelSpec:
 
     ``fine`` switches age bands and exposure-by-age to the narrow bands, ``rows``
     restricts the records, ``definition`` replaces the working exposure, ``shift``
-    moves the index date of event cases when stratifying. ``{endpoint}`` in a column
-    name is replaced by the endpoint fitted.
+    moves the index date of event cases when stratifying. ``by_endpoint`` lists
+    (model column, pattern) pairs for columns that differ between endpoints.
     """
 
     name: str
@@ -47,20 +47,17 @@ class ModelSpec:
     rows: str | None = None
     definition: tuple[str, str] | None = None
     shift: int = 0
+    by_endpoint: tuple[tuple[str, str], ...] = ()
 
-    def terms(self, endpoint: str | None = None) -> list[Term]:
+    def terms(self) -> list[Term]:
         exposure = number("omicron") if self.exposure == "omicron" else factor(self.exposure)
         body = [exposure, self.status, DEPRIVATION, SEX, *self.extra, AGE_TREND]
         # single variables come before products, as the column order decides which of two
         # dependent columns is the redundant one
-        out = sorted((t for t in body if t not in self.without), key=lambda t: len(t.columns()))
-        if endpoint is None:
-            return out
-        fill = lambda c: c.format(endpoint=endpoint) if c else c
-        return [Term(fill(t.factor), fill(t.number)) for t in out]
+        return sorted((t for t in body if t not in self.without), key=lambda t: len(t.columns()))
 
-    def per_endpoint(self) -> bool:
-        return any("{endpoint}" in c for c in term_columns(self.terms()))
+
+IMPUTED_STATUS = (("reinf_rand_var", "{endpoint}_reinf_rand"),)
 
 
 def _model_list() -> list[ModelSpec]:
@@ -92,7 +89,9 @@ def _model_list() -> list[ModelSpec]:
         ModelSpec("sev_epb2", with_vacc, shift=2),
         ModelSpec("sev_vam", with_vacc, definition=("omicron3", "delta3")),
         ModelSpec("sev_seq", with_vacc, definition=("B11529_conf", "B16172_conf")),
-        ModelSpec("sev_vacc_reinf_npR", base, status=within("vaccinated", "{endpoint}_reinf_rand"), extra=(dose,)),
+        ModelSpec(
+            "sev_vacc_reinf_npR", base, status=within("vaccinated", "reinf_rand_var"), extra=(dose,), by_endpoint=IMPUTED_STATUS
+        ),
         ModelSpec("sev_vacc2", base, status=by_dose, extra=(factor("om_dose2"),)),
         ModelSpec("sev_vacc_dose_reinf", base, status=by_dose, extra=(dose,)),
         ModelSpec("sev_unvacc_noage", base, "omicron", status=plain, rows="num_doses = 0"),
@@ -152,7 +151,10 @@ def stack_endpoints(
     for e in endpoints:
         time, event = survival_columns(F.col(e), F.col(f"{e}_date"), F.col(INDEX), follow_up_days(e, cfg), cfg.censor_date)
         stratum = _stratum(spec, F.col(e)) if spec else F.lit("all")
-        lines.append(F.struct(F.lit(e).alias("endpoint"), stratum.alias("idc"), time.alias("surv_time"), event.alias("surv_status")))
+        own = [F.col(pattern.format(endpoint=e)).alias(name) for name, pattern in (spec.by_endpoint if spec else ())]
+        lines.append(
+            F.struct(F.lit(e).alias("endpoint"), stratum.alias("idc"), time.alias("surv_time"), event.alias("surv_status"), *own)
+        )
     return df.select(*keep, F.inline(F.array(*lines)))
 
 
@@ -167,19 +169,14 @@ def model_patterns(
     **layout,
 ) -> Patterns:
     """Collapsed patterns of one specification for several endpoints (and replicates)."""
-    frame = model_frame(df, spec, age_set)
-    if spec.per_endpoint() and len(endpoints) != 1:
-        raise ValueError("fit a specification with endpoint-specific terms one endpoint at a time")
-    terms = spec.terms(endpoints[0])
-    frame = frame.where(known_terms(terms))
-    levels = factor_levels(frame, terms, fixed.REFERENCE_LEVELS)
-    columns = term_columns(terms)
-    keep = list(dict.fromkeys([*columns, *(c for c in (replicate, weight) if c)]))
-    stacked = stack_endpoints(frame, endpoints, cfg, keep, spec)
+    terms = spec.terms()
+    own = [name for name, _ in spec.by_endpoint]
+    keep = list(dict.fromkeys([*(c for c in term_columns(terms) if c not in own), *(c for c in (replicate, weight) if c)]))
+    stacked = stack_endpoints(model_frame(df, spec, age_set), endpoints, cfg, keep, spec)
     fit = interaction("endpoint", replicate, sep="|") if replicate else F.col("endpoint")
     return collapse_patterns(
-        stacked, columns, design_columns(terms, levels), fit, F.col("idc"), F.col("surv_time"), F.col("surv_status"),
-        F.col(weight) if weight else None, **layout,
+        stacked, terms, fit, F.col("idc"), F.col("surv_time"), F.col("surv_status"),
+        F.col(weight) if weight else None, fixed.REFERENCE_LEVELS, **layout,
     )
 
 
@@ -193,12 +190,8 @@ def fit_model(
 ) -> DataFrame:
     """Coefficient table of one model: (model, endpoint, term, estimate, se, ...)."""
     endpoints = list(endpoints or cfg.endpoints)
-    groups = [[e] for e in endpoints] if spec.per_endpoint() else [endpoints]
-    out = None
-    for group in groups:
-        fits = fit_hazards(model_patterns(df, spec, cfg, group, age_set=age_set, **layout), cfg.standard_errors)
-        out = fits if out is None else out.unionByName(fits)
-    named = clean_labels(out.withColumnRenamed("fit", "endpoint"))
+    fits = fit_hazards(model_patterns(df, spec, cfg, endpoints, age_set=age_set, **layout), cfg.standard_errors)
+    named = clean_labels(fits.withColumnRenamed("fit", "endpoint"))
     return named.select(F.lit(spec.name).alias("model"), F.lit(age_set).alias("agedesc"), "*")
 
 
@@ -212,14 +205,9 @@ def bootstrap_fits(
     replicates: DataFrame, spec: ModelSpec, cfg: StudyConfig, endpoints: Sequence[str], replicate: str = "replicate", weight: str = "weight", **layout
 ) -> DataFrame:
     """Coefficients of all replicates and endpoints: (endpoint, replicate, var, estimate)."""
-    groups = [[e] for e in endpoints] if spec.per_endpoint() else [list(endpoints)]
-    out = None
-    for group in groups:
-        patterns = model_patterns(replicates, spec, cfg, group, replicate, weight, **layout)
-        fits = fit_hazards(patterns, standard_errors=False)
-        out = fits if out is None else out.unionByName(fits)
+    fits = fit_hazards(model_patterns(replicates, spec, cfg, endpoints, replicate, weight, **layout), standard_errors=False)
     parts = F.split("fit", r"\|")
-    return clean_labels(out).select(
+    return clean_labels(fits).select(
         parts[0].alias("endpoint"), parts[1].cast("int").alias("replicate"), "var", "estimate"
     )
 
@@ -269,8 +257,7 @@ def unadjusted_hazards(
     stacked = stacked_levels(wide, {v: F.col(f"v_{v}") for v in variables}, ["omicron", "endpoint", "surv_time", "surv_status"])
     fit = F.concat_ws("\u0001", "variable", "level", "endpoint")
     patterns = collapse_patterns(
-        stacked, ["omicron"], [("omicron", F.col("omicron").cast("double"))], fit, F.lit("all"),
-        F.col("surv_time"), F.col("surv_status"),
+        stacked, [number("omicron")], fit, F.lit("all"), F.col("surv_time"), F.col("surv_status")
     )
     parts = F.split("fit", "\u0001")
     return fit_hazards(patterns, eps=eps).select(
