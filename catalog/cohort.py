@@ -149,17 +149,23 @@ def _count_sql() -> str:
     )
 
 
-_ZERO = ", ".join(f"0 AS {e}_{lab}" for e in fixed.TABLE_ENDPOINTS for lab in ("delta", "omicron"))
+_COUNT_COLS = [f"{e}_{lab}" for e in fixed.TABLE_ENDPOINTS for lab in ("delta", "omicron")]
+# declared levels appear with zero counts when no record has them
+_DECLARED = {"sex": ["Female", "Male", "Other", "Unknown"], "ageband": derivation.band_labels(fixed.AGE_BREAKS)}
+_ZERO = " UNION ALL ".join(
+    f"SELECT '{v}', '{level}', {', '.join('0' for _ in _COUNT_COLS)}" for v, levels in _DECLARED.items() for level in levels
+)
+_SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _COUNT_COLS)
 
 
 @query(
     "count_table",
-    f"""SELECT c.*, CASE variable WHEN 'all' THEN 'All' WHEN 'reinf' THEN 'Reinfection:' || level WHEN 'imd_decile' THEN 'IMD:' || level ELSE level END AS row_label
-FROM ({_count_sql()} UNION ALL SELECT 'sex', 'Other', {_ZERO}) c""",
+    f"""SELECT variable, level, {_SUMS},
+  CASE variable WHEN 'all' THEN 'All' WHEN 'reinf' THEN 'Reinfection:' || level WHEN 'imd_decile' THEN 'IMD:' || level ELSE level END AS row_label
+FROM ({_count_sql()} UNION ALL {_ZERO}) c GROUP BY variable, level""",
 )
 def count_table(p):
-    declared = {"sex": ["Female", "Male", "Other", "Unknown"], "ageband": derivation.band_labels(fixed.AGE_BREAKS)}
-    return models.exposure_counts(p.known, declared=declared).withColumn("row_label", models.row_label())
+    return models.exposure_counts(p.known, declared=_DECLARED).withColumn("row_label", models.row_label())
 
 
 _BANDS = {f"age_{i}": b for i, b in enumerate(derivation.band_labels(fixed.AGE_BREAKS))}
