@@ -106,7 +106,7 @@ def impute_exposure(p):
 
     rate = F.avg(F.when(known, F.col("omicron"))).alias("pr")
     base = p.derived.select("case_id", "omicron", "delta", "ageband", "dose_vacc")
-    scored = add_group_stats(base, ["ageband", "dose_vacc"], [rate])
+    scored = add_group_stats(base, ["ageband", "dose_vacc"], [rate], few_keys=True)
     out = resampling.impute_bernoulli(
         scored, F.col("pr"), uniform("exposure", "case_id", F.lit(0)), "omicron_drawn",
         {1: F.col("omicron") == 1, 0: F.col("delta") == 1},
@@ -132,7 +132,7 @@ def impute_odds_scaled(p):
     from cohortline.operators.joins import add_group_stats
 
     base = ascertainment.reported_shares(p.known.select("case_id", "reinfection_flag", "vaccinated", "NHSER_name", "omicron", "ageband"))
-    scored = add_group_stats(base, ["NHSER_name", "omicron"], [F.avg("reinfection_flag").alias("pr")])
+    scored = add_group_stats(base, ["NHSER_name", "omicron"], [F.avg("reinfection_flag").alias("pr")], few_keys=True)
     pred = resampling.odds_scaled(F.col("pr"), ascertainment.resampling_factor(F.col("prop_rep")), F.col("reinfection_flag"))
     out = ascertainment.odds_imputed(scored.withColumn("reinf_pred", pred), uniform("status", "case_id", F.lit(0)))
     return out.select("case_id", F.round("reinf_pred", 6).alias("reinf_pred"), "reinf_rand", "vacc_reinf")

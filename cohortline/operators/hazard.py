@@ -106,9 +106,16 @@ def likelihood_sums(patterns: Patterns, betas: dict[str, np.ndarray]) -> DataFra
 def _evaluate(patterns: Patterns, betas: dict[str, np.ndarray]) -> dict[str, tuple]:
     p = len(patterns.terms)
     size = 1 + p + p * (p + 1) // 2
+    # fits × size numbers, whatever the size of the data
+    sums = likelihood_sums(patterns, betas).toArrow().combine_chunks()
+    fit_of = sums.column("fit").to_numpy(zero_copy_only=False)
+    pos, value = sums.column("pos").to_numpy(), sums.column("v").to_numpy()
     found: dict[str, np.ndarray] = {}
-    for r in likelihood_sums(patterns, betas).toLocalIterator():
-        found.setdefault(r["fit"], np.zeros(size))[r["pos"]] = r["v"]
+    for fit in betas:
+        at = fit_of == fit
+        if at.any():
+            found[fit] = np.zeros(size)
+            found[fit][pos[at]] = value[at]
     out = {}
     for fit, v in found.items():
         info = np.zeros((p, p))

@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.dates import days_between, in_lag
 from cohortline.functions.values import all_of, blank_where, flag, masked
+from cohortline.sources.storage import cut_lineage
 
 # A key is hot when it holds more than this share of all rows (hence there are fewer
 # than 1 / HOT_SHARE hot keys, which bounds what is broadcast) and more than HOT_ROWS.
 HOT_SHARE = 1.0 / 2000
 HOT_ROWS = 200_000
 SALTS = 64
+# A lookup is sent to every task only when it has been counted and is no larger.
+BROADCAST_ROWS = 500_000
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "n", share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
@@ -68,16 +71,34 @@ def join_unique(
     return joined.select(*[F.col(f"l.{c}") for c in rows.columns], *[F.col(f"r.{c}") for c in extra])
 
 
+def join_counted(
+    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], n: str, max_rows: int = BROADCAST_ROWS, **limits
+) -> DataFrame:
+    """:func:`join_unique` for a lookup that is expected to be small.
+
+    The lookup is computed once and counted. Up to ``max_rows`` it is broadcast, so the
+    rows are not shuffled at all; beyond that the salted join is used.
+    """
+    lookup = cut_lineage(lookup)
+    if lookup.limit(max_rows + 1).count() > max_rows:
+        return join_unique(rows, lookup, keys, n, **limits)
+    joined = rows.alias("l").join(F.broadcast(lookup.alias("r")), all_of(_same("l", "r", keys)), "left")
+    extra = [c for c in lookup.columns if c not in keys]
+    return joined.select(*[F.col(f"l.{c}") for c in rows.columns], *[F.col(f"r.{c}") for c in extra])
+
+
 def add_group_stats(
-    rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column], n: str = "_n", **limits
+    rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column], n: str = "_n", few_keys: bool = False, **limits
 ) -> DataFrame:
     """Aggregate per key and put the result on every row of the key.
 
     Same result as an aggregate over an unordered window, without pulling a whole
-    group into one task: map-side aggregation, then a salted join.
+    group into one task: map-side aggregation, then a salted join, or a broadcast of
+    the counted result when ``few_keys`` are expected.
     """
     stats = rows.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_rows_of_key"))
-    out = join_unique(rows, stats, keys, "_rows_of_key", **limits)
+    join = join_counted if few_keys else join_unique
+    out = join(rows, stats, keys, "_rows_of_key", **limits)
     return out.withColumnRenamed("_rows_of_key", n) if n != "_n" else out.drop("_rows_of_key")
 
 

@@ -213,7 +213,7 @@ def test_fanout_join_with_hot_keys(spark):
 
 def test_group_stats_with_hot_and_null_keys(spark):
     df = spark.createDataFrame([(1, i) for i in range(40)] + [(None, 5), (None, 7), (2, 3)], "k int, v int")
-    for limits in ({}, {"hot_rows": 1, "salts": 5, "share": 0.01}):
+    for limits in ({}, {"hot_rows": 1, "salts": 5, "share": 0.01}, {"few_keys": True}, {"few_keys": True, "max_rows": 1}):
         out = joins.add_group_stats(df, ["k"], [F.max("v").alias("m")], n="n", **limits)
         assert out.count() == 43
         assert {(r.k, r.m, r.n) for r in out.collect()} == {(1, 39, 40), (None, 7, 2), (2, 3, 1)}

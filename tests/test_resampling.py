@@ -40,7 +40,7 @@ def test_stratified_impute_edges(spark):
         + [(30 + i, "half", int(i < 2), i % 2) for i in range(8)]
     )
     df = spark.createDataFrame(data, "k int, s string, r int, e int").withColumns({"e2": 1 - F.col("e"), "f": F.lit(2.0)})
-    for limits in ({}, {"hot_rows": 1, "salts": 3, "share": 0.01}):
+    for limits in ({}, {"max_rows": 0, "hot_rows": 1, "salts": 3, "share": 0.01}):
         out = resampling.stratified_impute(df, ["s"], ["e", "e2"], "r", "f", uniform("t", "k"), **limits)
         assert out.count() == 20
         p = {r.k: (r.s, r.r, r.e_reinf_raw, r.e_reinf_var, r.e_reinf_rand, r.e_n, r.e_reinf) for r in out.collect()}
