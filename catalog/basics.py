@@ -130,7 +130,7 @@ def masked_update(p):
 
 @query(
     "null_defaults",
-    "SELECT case_id, coalesce(vacc_dose_1, 'none') AS product, coalesce(date_dose_4 - last_specimen_date, -1) AS lag FROM cases",
+    "SELECT case_id, coalesce(vacc_dose_1, 'none') AS product, CAST(coalesce(date_dose_4 - last_specimen_date, -1) AS INT) AS lag FROM cases",
 )
 def null_defaults(p):
     lag = days_between("date_dose_4", "last_specimen_date")

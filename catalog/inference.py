@@ -81,7 +81,7 @@ def bootstrap_summary(p):
 
 @query(
     "draw_parameters",
-    f"""SELECT ageband, iteration, round(m + s * z, 6) AS draw FROM (SELECT ageband, m, s, it.i AS iteration,
+    f"""SELECT ageband, CAST(iteration AS INT) AS iteration, round(m + s * z, 6) AS draw FROM (SELECT ageband, m, s, it.i AS iteration,
     sqrt(-2.0 * ln({_u('par:r', 'ageband', 'it.i')})) * cos(2.0 * pi() * {_u('par:a', 'ageband', 'it.i')}) AS z
   FROM (SELECT ageband, avg(reinfection_flag) AS m, sqrt(avg(reinfection_flag) * (1 - avg(reinfection_flag)) / count(*)) AS s FROM banded GROUP BY ageband),
     (SELECT unnest(generate_series(1, 5)) AS i) it)""",
@@ -311,9 +311,9 @@ _TERMS = [factor("sex"), factor("imd_decile"), within("vaccinated", "reinfection
 @query(
     "design_matrix",
     """SELECT case_id, """
-    + ", ".join(f"CASE WHEN sex = '{v}' THEN 1.0 ELSE 0.0 END AS \"sex{v}\"" for v in ("Male", "Unknown"))
+    + ", ".join(f"CAST(sex = '{v}' AS DOUBLE) AS \"sex{v}\"" for v in ("Male", "Unknown"))
     + ", "
-    + ", ".join(f"CASE WHEN imd_decile = {v} THEN 1.0 ELSE 0.0 END AS \"imd_decile{v}\"" for v in range(2, 11))
+    + ", ".join(f"CAST(imd_decile = {v} AS DOUBLE) AS \"imd_decile{v}\"" for v in range(2, 11))
     + ", "
     + ", ".join(f"CASE WHEN vaccinated = '{v}' THEN CAST(reinfection_flag AS DOUBLE) ELSE 0.0 END AS \"vaccinated{v}:reinfection_flag\"" for v in ("Unvacc", "Vacc"))
     + ", CAST(omicron AS DOUBLE) AS omicron FROM known",
@@ -333,6 +333,29 @@ def glm_saturated(p):
     return scored.groupBy("NHSER_name", "sex").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prediction"), 5).alias("p"))
 
 
+def _logistic_sql(steps: int = 8) -> str:
+    """CTEs that fit outcome ~ x by Newton's method; the last one is ``coef(a, b)``."""
+    ctes = ["pts AS (SELECT age / 10 AS x, count(*) AS n, CAST(sum(omicron) AS DOUBLE) AS y FROM known GROUP BY ALL)",
+            "c0 AS (SELECT CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b)"]
+    for k in range(steps):
+        ctes.append(
+            f"""c{k + 1} AS (SELECT a + (h11 * u0 - h01 * u1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * u1 - h01 * u0) / (h00 * h11 - h01 * h01) AS b
+  FROM (SELECT any_value(a) AS a, any_value(b) AS b, sum(y - n * q) AS u0, sum(x * (y - n * q)) AS u1, sum(n * q * (1 - q)) AS h00,
+    sum(x * n * q * (1 - q)) AS h01, sum(x * x * n * q * (1 - q)) AS h11 FROM (SELECT *, 1 / (1 + exp(-a - b * x)) AS q FROM pts, c{k})))"""
+        )
+    return ",\n".join(ctes)
+
+
+@query(
+    "glm_single_covariate",
+    f"WITH {_logistic_sql()} SELECT age, n, round(1 / (1 + exp(-a - b * age / 10)), 5) AS p FROM (SELECT age, count(*) AS n FROM known GROUP BY age), c8",
+)
+def glm_single_covariate(p):
+    base = p.known.select("omicron", "age", (F.col("age") / 10).alias("x"))
+    scored = predict(fit_binomial(base, "omicron", [number("x")]), base)
+    return scored.groupBy("age").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prediction"), 5).alias("p"))
+
+
 @query("glm_binomial")
 def glm_binomial(p):
     terms = [factor("agebf"), within("agebf", "age_ib"), within("vaccinated", "reinfection_flag"), factor("sex"), number("hosp")]

@@ -193,7 +193,7 @@ _SHARES = ", ".join(f"('{b}', {v})" for b, v in zip(
     ["[0,1)", "[1,5)", "[5,10)", "[10,20)", "[20,30)", "[30,40)", "[40,50)", "[50,60)", "[60,70)", "[70,80)", "[80,Inf]"], fixed.REPORTED_SHARE))
 
 
-@query("level_lookup", f"SELECT case_id, v.s AS prop_rep FROM banded LEFT JOIN (VALUES {_SHARES}) v(b, s) ON ageband = v.b")
+@query("level_lookup", f"SELECT case_id, CAST(v.s AS DOUBLE) AS prop_rep FROM banded LEFT JOIN (VALUES {_SHARES}) v(b, s) ON ageband = v.b")
 def level_lookup(p):
     from cohortline.functions.levels import band, band_labels
 

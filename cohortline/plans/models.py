@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.config import StudyConfig
-from cohortline.functions.levels import collapse, interaction, strip_labels
+from cohortline.functions.levels import band_labels, collapse, interaction, strip_labels
 from cohortline.operators.design import Term, factor, number, term_columns, within
 from cohortline.operators.hazard import EPS, Patterns, collapse_patterns, fit_hazards, hazard_table, side_by_side
 from cohortline.operators.tables import count_table, stacked_levels
@@ -236,6 +236,15 @@ def row_label(variable: str = "variable", level: str = "level") -> Column:
     )
 
 
+def in_report_order(table: DataFrame) -> DataFrame:
+    """Rows by variable, then reference level, declared or numeric order, then alphabetically."""
+    position = F.array_position(F.array(*[F.lit(v) for v in TABLE_VARIABLES]), F.col("variable"))
+    declared = F.array_position(F.array(*[F.lit(b) for b in band_labels(fixed.AGE_BREAKS)]), F.col("level"))
+    references = F.array(*[F.lit(r) for r in sorted(set(fixed.REFERENCE_LEVELS.values()))])
+    first = F.when(F.array_contains(references, F.col("level")), 0).otherwise(1)
+    return table.orderBy(position, first, declared, F.expr("try_cast(level AS double)").asc_nulls_last(), "level")
+
+
 def table_endpoints(names: Sequence[str] = fixed.TABLE_ENDPOINTS) -> dict[str, Column]:
     return {n: F.lit(True) if n == "case" else F.col(n) == 1 for n in names}
 
@@ -266,11 +275,12 @@ def unadjusted_hazards(
 
 
 def table_with_hazards(
-    df: DataFrame, cfg: StudyConfig, endpoints: Sequence[str] | None = None, table_cols: Sequence[str] = fixed.TABLE_ENDPOINTS, eps: float = EPS
+    df: DataFrame, cfg: StudyConfig, endpoints: Sequence[str] | None = None, table_cols: Sequence[str] = fixed.TABLE_ENDPOINTS,
+    eps: float = EPS, declared: Mapping | None = None,
 ) -> DataFrame:
     """Count table with the unadjusted hazard ratio of each row next to it."""
     endpoints = list(endpoints or cfg.endpoints)
     ratios = hazard_table(unadjusted_hazards(df, cfg, endpoints, eps=eps), fixed.CI_WIDTH)
     wide = side_by_side(ratios, ["variable", "level"], "endpoint", endpoints, ["mean", "l95", "u95", "label"])
-    counts = exposure_counts(df, table_cols)
+    counts = exposure_counts(df, table_cols, declared)
     return counts.join(wide, ["variable", "level"], "left")

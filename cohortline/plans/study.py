@@ -109,7 +109,9 @@ def run_analysis(
     if analysis.counts:
         bands = {f"age_{i}": b for i, b in enumerate(band_labels(fixed.AGE_BREAKS))}
         out["num_age_date"] = ("counts", reports.counts_by_date(cut, bands))
-        out["num_tab"] = ("counts", models.table_with_hazards(cohort, cfg).withColumn("row_label", models.row_label()))
+        declared = {"ageband": band_labels(fixed.AGE_BREAKS)}
+        table = models.table_with_hazards(cohort, cfg, declared=declared).withColumn("row_label", models.row_label())
+        out["num_tab"] = ("counts", models.in_report_order(table))
     if specs:
         fits = [models.fit_model(cohort, s, cfg, age_set=a) for s in specs for a in analysis.age_sets]
         every = reduce(lambda a, b: a.unionByName(b), fits)

@@ -166,3 +166,9 @@ def test_model_catalogue():
     assert all(sorted(map(len, n)) == list(map(len, n)) for n in names)
     used = {i for s in models.MODEL_SETS.values() for i in s}
     assert len(used) == 23
+
+
+def test_report_order(spark):
+    data = [("imd_decile", "10"), ("imd_decile", "2"), ("ageband", "[10,20)"), ("ageband", "[5,10)"), ("dose_vacc", "AZ:1"), ("dose_vacc", "None"), ("all", "all")]
+    out = models.in_report_order(spark.createDataFrame(data, "variable string, level string"))
+    assert [r.level for r in out.collect()] == ["all", "[5,10)", "[10,20)", "2", "10", "None", "AZ:1"]
