@@ -172,3 +172,26 @@ def test_report_order(spark):
     data = [("imd_decile", "10"), ("imd_decile", "2"), ("ageband", "[10,20)"), ("ageband", "[5,10)"), ("dose_vacc", "AZ:1"), ("dose_vacc", "None"), ("all", "all")]
     out = models.in_report_order(spark.createDataFrame(data, "variable string, level string"))
     assert [r.level for r in out.collect()] == ["all", "[5,10)", "[10,20)", "2", "10", "None", "AZ:1"]
+
+
+def test_factor_model_equals_row_level_newton(spark):
+    rng = np.random.default_rng(11)
+    n = 400
+    df = pd.DataFrame(
+        {
+            "g": rng.choice(["None", "AZ:1", "PF/MD:2"], n), "v": rng.choice(["U", "V"], n), "r": rng.integers(0, 2, n),
+            "s": rng.integers(0, 5, n), "t": rng.choice([0.5, 1.0, 2.0, 4.0], n), "e": rng.integers(0, 2, n),
+        }
+    )
+    x = np.column_stack(
+        [df.g == "AZ:1", df.g == "PF/MD:2", (df.v == "U") * df.r, (df.v == "V") * df.r]
+    ).astype(float)
+    beta, se = brute_fit(df.s.to_numpy(), df.t.to_numpy(), df.e.to_numpy(), x)
+    terms = [factor("g"), within("v", "r")]
+    reference = {"g": "None"}
+    patterns = hazard.collapse_patterns(
+        spark.createDataFrame(df), terms, F.lit("f"), F.col("s"), F.col("t"), F.col("e"), reference=reference
+    )
+    fits = hazard.fit_hazards(patterns, eps=1e-13).collect()
+    assert [r.term for r in fits] == ["gAZ:1", "gPF/MD:2", "vU:r", "vV:r"]
+    assert np.allclose([r.estimate for r in fits], beta, atol=1e-8) and np.allclose([r.se for r in fits], se, atol=1e-8)

@@ -111,3 +111,25 @@ def test_delay_standard_error_uses_n_minus_one(spark):
     out = tables.delay_table(df, F.col("d"), F.lit(True), "b", {"x": F.lit(True)}, "hosp")
     got = {r.b: (r.av_x, r.se_x, r.n_x) for r in out.collect()}
     assert got[0] == (3.0, 2.0 / math.sqrt(2), 3) and got[10] == (2.0, None, 1)
+
+
+def test_binomial_fit_equals_newton_on_rows(spark):
+    import numpy as np
+    import pandas as pd
+
+    from cohortline.operators.design import number, within
+
+    rng = np.random.default_rng(3)
+    n = 600
+    df = pd.DataFrame({"g": rng.choice(["a", "b", "c"], n), "z": rng.integers(0, 6, n).astype(float), "h": rng.integers(0, 2, n).astype(float)})
+    eta = 0.4 * (df.g == "b") - 0.3 * df.h + 0.2 * df.z * (df.g == "c") - 0.5
+    df["y"] = (rng.random(n) < 1 / (1 + np.exp(-eta))).astype(int)
+    x = np.column_stack([np.ones(n), df.g == "b", df.g == "c", df.h, *[df.z * (df.g == k) for k in "abc"]]).astype(float)
+    b = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ b))
+        b = b + np.linalg.solve((x.T * (p * (1 - p))) @ x, x.T @ (df.y - p))
+    df["p"] = 1 / (1 + np.exp(-x @ b))
+    sdf = spark.createDataFrame(df)
+    out = logistic.predict(logistic.fit_binomial(sdf, "y", [factor("g"), within("g", "z"), number("h")]), sdf)
+    assert max(abs(r.p - r.prediction) for r in out.collect()) < 1e-6
