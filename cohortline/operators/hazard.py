@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,16 +109,11 @@ def _evaluate(patterns: Patterns, betas: dict[str, np.ndarray]) -> dict[str, tup
     size = 1 + p + p * (p + 1) // 2
     # fits × size numbers, whatever the size of the data
     sums = likelihood_sums(patterns, betas).toArrow().combine_chunks()
-    fit_of = sums.column("fit").to_numpy(zero_copy_only=False)
-    pos, value = sums.column("pos").to_numpy(), sums.column("v").to_numpy()
-    found: dict[str, np.ndarray] = {}
-    for fit in betas:
-        at = fit_of == fit
-        if at.any():
-            found[fit] = np.zeros(size)
-            found[fit][pos[at]] = value[at]
+    codes, names = pd.factorize(sums.column("fit").to_numpy(zero_copy_only=False))
+    packed = np.zeros((len(names), size))
+    packed[codes, sums.column("pos").to_numpy()] = sums.column("v").to_numpy()
     out = {}
-    for fit, v in found.items():
+    for fit, v in zip(names, packed):
         info = np.zeros((p, p))
         info[np.triu_indices(p)] = v[1 + p :]
         out[fit] = (v[0], v[1 : 1 + p], info + np.triu(info, 1).T)

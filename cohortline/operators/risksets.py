@@ -211,19 +211,20 @@ def partition_sums(betas: dict[str, np.ndarray]):
         )
         flat = table.column("x").combine_chunks().flatten().to_numpy()
         x = flat.reshape(table.num_rows, -1)
+        # rows of one fit next to each other, large strata after the others
+        group = fit_code.astype(np.int64) * 2 + large
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
         out = []
-        for code, fit in enumerate(fit_names):
+        for sel in np.split(order, starts[1:]):
+            fit, is_large = fit_names[fit_code[sel[0]]], bool(large[sel[0]])
             if fit not in betas:
                 continue
-            for is_large in (False, True):
-                sel = np.flatnonzero((fit_code == code) & (large == is_large))
-                if not len(sel):
-                    continue
-                args = (stratum[sel], time[sel], event[sel].astype(float), weight[sel], x[sel], betas[fit])
-                if is_large:
-                    out += [(fit, "stratum:" + stratum_names[s], t, v) for s, t, v in cell_partials(*args)]
-                else:
-                    out.append((fit, own_part, 0.0, pack(*totals(*args))))
+            args = (stratum[sel], time[sel], event[sel].astype(float), weight[sel], x[sel], betas[fit])
+            if is_large:
+                out += [(fit, "stratum:" + stratum_names[s], t, v) for s, t, v in cell_partials(*args)]
+            else:
+                out.append((fit, own_part, 0.0, pack(*totals(*args))))
         for i in range(0, len(out), 1000):
             fits, parts, times, vectors = zip(*out[i : i + 1000])
             yield pa.RecordBatch.from_arrays(
