@@ -27,6 +27,9 @@ cloudpickle.register_pickle_by_value(risksets)
 
 EPS = 1e-9
 MAX_STEPS = 20
+# a task holds about this many patterns (times the number of model columns) in memory
+PATTERNS_PER_BUCKET = 50_000
+MIN_PATTERNS_PER_BUCKET = 2_000
 PIVOT_TOLERANCE = float(np.finfo(float).eps ** 0.75)
 
 FIT_SCHEMA = (
@@ -44,6 +47,13 @@ class Patterns:
     split_strata: bool
 
 
+def bucket_count(patterns: int, parallelism: int) -> int:
+    """Partitions for a number of patterns: all cores for small tables, bounded size for large ones."""
+    by_size = -(-patterns // PATTERNS_PER_BUCKET)
+    by_cores = min(parallelism, -(-patterns // MIN_PATTERNS_PER_BUCKET))
+    return max(by_size, by_cores, 1)
+
+
 def collapse_patterns(
     df: DataFrame,
     terms: Sequence[Term],
@@ -76,7 +86,8 @@ def collapse_patterns(
         design = design_columns(terms, factor_levels(collapsed, terms, reference or {}))
         sizes = collapsed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("event").alias("any_event"))
         sizes = sizes.where("any_event = 1").select(*key, "n")
-        n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        n_buckets = buckets or bucket_count(total, spark.sparkContext.defaultParallelism)
         # bounded, see hot_keys; the list also tells whether the second stage is needed
         large = [tuple(r) for r in hot_keys(sizes, key, rows=max_stratum).collect()]
         informative = collapsed.join(sizes.select(*key), key, "left_semi")
@@ -161,6 +172,7 @@ def fit_hazards(patterns: Patterns, standard_errors: bool = True, eps: float = E
 
     Terms without information get NULL estimates. A step that lowers the log
     likelihood is halved. The driver holds p-vectors and p × p matrices only.
+    ``n`` and ``n_event`` count the records of strata with events.
     """
     spark, p = patterns.table.sparkSession, len(patterns.terms)
     counts = {

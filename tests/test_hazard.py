@@ -195,3 +195,7 @@ def test_factor_model_equals_row_level_newton(spark):
     fits = hazard.fit_hazards(patterns, eps=1e-13).collect()
     assert [r.term for r in fits] == ["gAZ:1", "gPF/MD:2", "vU:r", "vV:r"]
     assert np.allclose([r.estimate for r in fits], beta, atol=1e-8) and np.allclose([r.se for r in fits], se, atol=1e-8)
+
+
+def test_bucket_count_grows_with_the_patterns():
+    assert [hazard.bucket_count(n, 8) for n in (0, 100, 5_000, 100_000, 10**9)] == [1, 1, 3, 8, 20_000]
