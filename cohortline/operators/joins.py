@@ -97,8 +97,11 @@ def add_group_stats(
     the counted result when ``few_keys`` are expected.
     """
     stats = rows.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_rows_of_key"))
-    join = join_counted if few_keys else join_unique
-    out = join(rows, stats, keys, "_rows_of_key", **limits)
+    if few_keys:
+        out = join_counted(rows, stats, keys, "_rows_of_key", **limits)
+    else:
+        # stored once, as the hot-key list and the join both read it
+        out = join_unique(rows, cut_lineage(stats), keys, "_rows_of_key", **limits)
     return out.withColumnRenamed("_rows_of_key", n) if n != "_n" else out.drop("_rows_of_key")
 
 

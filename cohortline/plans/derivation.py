@@ -119,11 +119,16 @@ def death_endpoint(df: DataFrame, cfg: StudyConfig, index: str = INDEX) -> DataF
 
 
 def prior_infection_order(df: DataFrame, first: str = "specimen_date") -> DataFrame:
-    """Whether an earlier infection came before or after the first dose."""
+    """Whether an earlier infection came before or after the first dose.
+
+    Unknown when a first dose is dated and the first infection is not.
+    """
     before = F.col(first) < F.col("date_dose_1")
+    unknown = F.col(first).isNull() & F.col("date_dose_1").isNotNull()
     label = (
         F.when(F.col("reinfection_flag") == 0, "First infection")
         .when(F.col("vaccinated") == "Unvacc", "Prior infection, unvaccinated")
+        .when(unknown, F.lit(None))
         .when(before, "Prior infection before dose 1")
         .otherwise("Prior infection after dose 1")
     )

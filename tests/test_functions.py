@@ -119,3 +119,15 @@ def test_config_labels():
     cfg = StudyConfig(pillar2_only=True, link_variant="_p2", valid_id_only=False, unvaccinated_only=True)
     assert cfg.data_cut() == "pillar2_p2nv_unvacc"
     assert StudyConfig().link_tag() != StudyConfig(min_days_to_stay=1).link_tag()
+
+
+def test_prior_infection_order(spark):
+    data = [
+        (1, 0, "Vacc", day(0), day(5)), (2, 1, "Unvacc", day(0), None), (3, 1, "Vacc", day(0), day(5)),
+        (4, 1, "Vacc", day(5), day(5)), (5, 1, "Vacc", None, day(5)), (6, 1, "Vacc", None, None),
+    ]
+    df = spark.createDataFrame(data, "k int, reinfection_flag int, vaccinated string, specimen_date date, date_dose_1 date")
+    assert by_key(derivation.prior_infection_order(df), "k", "reinf_vacc_order") == {
+        1: "First infection", 2: "Prior infection, unvaccinated", 3: "Prior infection before dose 1",
+        4: "Prior infection after dose 1", 5: None, 6: "Prior infection after dose 1",
+    }
