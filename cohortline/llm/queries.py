@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortline.llm import contamination, exact, sharding, urls
+from cohortline.llm import bpe, contamination, exact, records, sharding, simhash, urls
 from cohortline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +24,21 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_bpe_codec")
+def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op2_sharding", sharding.sql())
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
+@query("op5_token_records")
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.export(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op6_url_filters", urls.sql())
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
@@ -38,6 +49,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op8_simhash_near_dedup")
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op9_exact_dedup", exact.SQL)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
