@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortline.llm import bpe, contamination, exact, records, sharding, simhash, urls
+from cohortline.llm import bpe, contamination, exact, lines, records, sharding, simhash, urls
 from cohortline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,9 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_exact_dedup", exact.SQL)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
+
+
+@query("op10_line_dedup", lines.SQL)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
