@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import bpe, contamination, exact, lines, records, sharding, simhash, urls
+from cohortline.llm import bpe, contamination, exact, lines, records, sharding, simhash, substrings, urls
 from cohortline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"))
 
 
+@query("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.drop_repeated_strings(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query("op5_token_records")
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.export(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
