@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import bpe, contamination, exact, lines, records, sharding, simhash, substrings, urls
+from cohortline.llm import bpe, contamination, exact, lines, records, sharding, simhash, substrings, toxicity, urls
 from cohortline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op5_token_records")
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.export(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
