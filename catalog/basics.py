@@ -26,7 +26,7 @@ from cohortline.operators.selection import apply_steps, attrition_ledger, comple
 from cohortline.plans import derivation, fixed
 from cohortline.plans.linkage import prepare_stays, use_definition
 from cohortline.sources.records import RecordSource, read_source
-from cohortline.sources.storage import label_results, snapshot, staging_path, write_results
+from cohortline.sources.storage import label_results, read_results, snapshot, staging_path, write_results
 from pyspark.sql import types as T
 
 _CSV = RecordSource(
@@ -84,7 +84,7 @@ def sink_results(p):
     for model, column in (("sex", "sex"), ("region", "NHSER_name")):
         table = p.person.groupBy(F.col(column).alias("level")).agg(F.count(F.lit(1)).alias("n"))
         write_results(label_results(table, LINK.data_cut(), LINK.date_name, model), path)
-    return p.spark.read.parquet(path).select("datacut", "date_name", "agedesc", "model", "level", "n")
+    return read_results(p.spark, path).select("datacut", "date_name", "agedesc", "model", "level", "n")
 
 
 @query("project_rename", "SELECT o_custkey AS finalid, o_orderdate AS specimen_date, o_orderpriority AS variant FROM ord")

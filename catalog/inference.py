@@ -23,7 +23,7 @@ BOOT = 20
 def _u(tag: str, *keys: str) -> str:
     """SQL twin of the key-hashed uniform."""
     text = ", ".join([f"'{tag}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
-    return f"((('0x' || substr(md5(concat_ws('|', {text})), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+    return f"((('0x' || substr(md5(concat_ws('|', {text})), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
 
 
 def _poisson(u: str) -> str:
@@ -96,8 +96,8 @@ def draw_parameters(p):
 
 @query(
     "impute_exposure",
-    f"""SELECT case_id, CASE WHEN u <= CASE WHEN omicron = 1 THEN 1.0 WHEN delta = 1 THEN 0.0 ELSE pr END THEN 1 ELSE 0 END AS omicron_drawn
-FROM (SELECT s.case_id, s.omicron, s.delta, g.pr, {_u('exposure', 's.case_id', '0')} AS u FROM strata s LEFT JOIN
+    f"""SELECT case_id, CASE WHEN u <= chance THEN 1 WHEN chance IS NOT NULL THEN 0 END AS omicron_drawn
+FROM (SELECT s.case_id, CASE WHEN s.omicron = 1 THEN 1.0 WHEN s.delta = 1 THEN 0.0 ELSE g.pr END AS chance, {_u('exposure', 's.case_id', '0')} AS u FROM strata s LEFT JOIN
   (SELECT ageband, dose_vacc, avg(omicron) AS pr FROM known GROUP BY ALL) g ON s.ageband = g.ageband AND s.dose_vacc = g.dose_vacc)""",
 )
 def impute_exposure(p):
@@ -122,8 +122,8 @@ _PROP = "CASE ageband " + " ".join(
 
 @query(
     "impute_odds_scaled",
-    f"""SELECT case_id, round(pred, 6) AS reinf_pred, CASE WHEN reinfection_flag = 1 THEN '2' WHEN u <= pred THEN '1' ELSE '0' END AS reinf_rand,
-  CASE WHEN reinfection_flag = 1 THEN vaccinated || '.2' WHEN u <= pred THEN vaccinated || '.1' ELSE 'first' END AS vacc_reinf
+    f"""SELECT case_id, round(pred, 6) AS reinf_pred, CASE WHEN reinfection_flag = 1 THEN '2' WHEN u <= pred THEN '1' WHEN pred IS NOT NULL THEN '0' END AS reinf_rand,
+  CASE WHEN reinfection_flag = 1 THEN vaccinated || '.2' WHEN u <= pred THEN vaccinated || '.1' WHEN pred IS NOT NULL THEN 'first' END AS vacc_reinf
 FROM (SELECT *, CASE WHEN reinfection_flag = 1 OR pr / (1 - pr) * (1 / prop - 1) >= 1 THEN 1.0 ELSE pr / (1 - pr) * (1 / prop - 1) END AS pred
   FROM (SELECT case_id, reinfection_flag, vaccinated, avg(reinfection_flag) OVER (PARTITION BY NHSER_name, omicron) AS pr,
     CAST({_PROP} AS DOUBLE) AS prop, {_u('status', 'case_id', '0')} AS u FROM known))""",

@@ -48,10 +48,6 @@ def within_band(c, floor_col) -> Column:
     return col(c) - col(floor_col)
 
 
-def squared(c) -> Column:
-    return col(c) * col(c)
-
-
 def collapse(c, groups: Mapping[str, Sequence]) -> Column:
     """Merge listed levels into named groups; unlisted levels stay as they are."""
     c = col(c)

@@ -34,12 +34,11 @@ def latest_record(
 
 def roll_up_outcomes(
     df: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     outcomes: Sequence[str],
     start: str,
     end: str,
     counted_only: Sequence[str] = (),
-    carry: Sequence[str] = (),
     weight: str = "n_stays",
     rank_sum: str = "rank_sum",
     rank_missing: str = "rank_missing",
@@ -49,9 +48,7 @@ def roll_up_outcomes(
 
     Per outcome: number of events, earliest start and earliest end among the events
     that meet it; over the events that meet any the mean rank (NULL when one of those
-    ranks is missing). Without ``carry`` only entities with such an event are returned.
-    With ``carry`` (columns constant within an entity) every entity is, so an index
-    list left-joined to its events is rolled up in the stage that joined it.
+    ranks is missing). Only entities with such an event are returned.
     """
     names = [*outcomes, *counted_only]
     kept = " OR ".join(f"`{o}` = 1" for o in names)
@@ -59,15 +56,10 @@ def roll_up_outcomes(
     for o in outcomes:
         aggs.append(F.expr(f"min(IF(`{o}` = 1, `{start}`, NULL))").alias(f"{o}_date"))
         aggs.append(F.expr(f"min(IF(`{o}` = 1, `{end}`, NULL))").alias(f"{o}_out_date"))
-    if carry:
-        aggs.insert(0, F.first(F.struct(*carry)).alias("_carried"))
-    else:
-        df = df.where(kept)
     known = f"sum(IF({kept}, `{rank_missing}`, 0)) = 0"
     mean = f"sum(IF({kept}, `{rank_sum}`, 0)) / nullif(sum(IF({kept}, `{weight}`, 0)), 0)"
     aggs.append(F.expr(f"IF({known}, {mean}, NULL)").alias(rank_name))
-    rolled = df.groupBy(key).agg(*aggs)
-    return rolled.select(key, "_carried.*", *rolled.columns[2:]) if carry else rolled
+    return df.where(kept).groupBy(*([key] if isinstance(key, str) else key)).agg(*aggs)
 
 
 def collapse_records(df: DataFrame, keys: Sequence[str], rank: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortline.operators import risksets
 from cohortline.operators.design import Term, design_columns, factor_levels, known_terms, term_columns
-from cohortline.operators.joins import HOT_ROWS, hot_keys
+from cohortline.operators.joins import HOT_ROWS, join_unique
 from cohortline.sources.storage import cut_lineage
 
 # the kernel travels with the tasks, so executors need no installed copy of it
@@ -85,13 +85,13 @@ def collapse_patterns(
     try:
         design = design_columns(terms, factor_levels(collapsed, terms, reference or {}))
         sizes = collapsed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("event").alias("any_event"))
-        sizes = sizes.where("any_event = 1").select(*key, "n")
+        sizes = cut_lineage(sizes.where("any_event = 1").select(*key, "n"))
         total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
         n_buckets = buckets or bucket_count(total, spark.sparkContext.defaultParallelism)
-        # bounded, see hot_keys; the list also tells whether the second stage is needed
-        large = [tuple(r) for r in hot_keys(sizes, key, rows=max_stratum).collect()]
-        informative = collapsed.join(sizes.select(*key), key, "left_semi")
-        is_large = F.struct(*key).isin([F.struct(*[F.lit(v) for v in k]) for k in large]) if large else F.lit(False)
+        large = not sizes.where(F.col("n") >= max_stratum).isEmpty()  # is the second stage needed?
+        # strata without events have no size; large ones are spread before any shuffle by stratum
+        informative = join_unique(collapsed, sizes, key, "n", hot_rows=max_stratum).where("n IS NOT NULL")
+        is_large = F.col("n") >= max_stratum
         spread = F.xxhash64("fit", "stratum", "time", "event", *covariates)
         bucket = F.pmod(F.when(is_large, spread).otherwise(F.xxhash64(*key)), F.lit(n_buckets)).cast("int")
         x = F.array(*[c for _, c in design]).alias("x")
@@ -99,7 +99,7 @@ def collapse_patterns(
         table = cut_lineage(table.repartition(n_buckets, "bucket").drop("bucket"))
     finally:
         collapsed.unpersist()
-    return Patterns(table, tuple(label for label, _ in design), bool(large))
+    return Patterns(table, tuple(label for label, _ in design), large)
 
 
 _PART_SCHEMA = "fit string, part string, time double, v array<double>"

@@ -15,9 +15,9 @@ from cohortline.functions.dates import days_between, in_lag
 from cohortline.functions.values import all_of, blank_where, flag, masked
 from cohortline.sources.storage import cut_lineage
 
-# A key is hot when it holds more than this share of all rows (hence there are fewer
-# than 1 / HOT_SHARE hot keys, which bounds what is broadcast) and more than HOT_ROWS.
-HOT_SHARE = 1.0 / 2000
+# A key is hot when it holds HOT_ROWS rows or more. Beyond 10**11 rows the limit is this
+# share of them, so that there are never more than 1 / HOT_SHARE hot keys to broadcast.
+HOT_SHARE = 1.0 / 500_000
 HOT_ROWS = 200_000
 SALTS = 64
 # A lookup is sent to every task only when it has been counted and is no larger.
@@ -113,10 +113,6 @@ def link_lookup(index: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return index.join(table, key, "left")
 
 
-def duplicate_keys(table: DataFrame, key: str) -> DataFrame:
-    return table.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
 def link_many(
     index: DataFrame,
     table: DataFrame,
@@ -142,7 +138,8 @@ def link_many(
         message = F.lit(f"{key} repeats in a table expected to be unique")
         one = one.where(F.assert_true(F.col("_n") == 1, message).isNull())
         return link_lookup(index, one.select(key, *[F.col(f"_row.{c}").alias(c) for c in extra]), key)
-    counts = table.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    # stored once, as the lists of hot keys on both sides read it
+    counts = cut_lineage(table.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
 
     # keep: spread the repeated side of hot keys, copy their single index row to each salt
     hot = hot_keys(counts, [key], "n", share, hot_rows)

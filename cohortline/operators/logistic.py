@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.operators.design import Term, term_columns
+from cohortline.operators.joins import join_counted
 
 # Iteration limit and tolerance of the binomial fits.
 MAX_STEPS = 25
@@ -56,9 +57,16 @@ def fit_binomial(df: DataFrame, outcome: str, terms: Sequence[Term], prediction:
 
 
 def predict(model: PipelineModel, df: DataFrame, prediction: str = "prediction") -> DataFrame:
-    """Predicted probability on every record."""
-    out = model.transform(df)
-    return out.select(*df.columns, prediction)
+    """Predicted probability on every record; no record is lost.
+
+    Records with a NULL variable, or with a level that the fit has not seen, get NULL.
+    Only distinct patterns of the variables are scored, and joined back.
+    """
+    terms = model.stages[0].getFormula().split("~")[1].replace(":", "+").split("+")
+    columns = list(dict.fromkeys(t.strip() for t in terms))
+    patterns = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_records"))
+    scored = model.transform(patterns).select(*columns, "_records", prediction)
+    return join_counted(df, scored, columns, "_records").select(*df.columns, prediction)
 
 
 def roc_auc(scored: DataFrame, outcome: str, score: str) -> DataFrame:

@@ -129,13 +129,17 @@ def cell_partials(stratum, time, event, weight, x, beta):
     """Own-cell sums of a part of a stratum: one row per (stratum, time).
 
     Used for strata too large for one task. The parts add up cell by cell before
-    :func:`combine_cells` finishes the stratum.
+    :func:`combine_cells` finishes the stratum. Each part removes its largest linear
+    predictor, which is the first number of its vectors, so that nothing overflows.
     """
     order = np.lexsort((-time, stratum))
     stratum, time, event, weight, x = (v[order] for v in (stratum, time, event, weight, x))
     start = np.flatnonzero(np.r_[True, (stratum[1:] != stratum[:-1]) | (time[1:] != time[:-1])])
     ends = np.r_[start[1:], len(time)]
     eta = x @ beta
+    new_stratum = np.r_[True, stratum[1:] != stratum[:-1]]
+    shift = np.maximum.reduceat(eta, np.flatnonzero(new_stratum))[np.cumsum(new_stratum) - 1]
+    eta = eta - shift
     risk = weight * np.exp(eta)
     rows = []
     for a, b in zip(start, ends):
@@ -147,7 +151,7 @@ def cell_partials(stratum, time, event, weight, x, beta):
                 time[a],
                 np.concatenate(
                     [
-                        [(wi * ei).sum(), (wi * ei * eta[a:b]).sum(), ri.sum(), di.sum()],
+                        [shift[a], (wi * ei).sum(), (wi * ei * eta[a:b]).sum(), ri.sum(), di.sum()],
                         (wi * ei) @ xi, ri @ xi, di @ xi,
                         (xi.T @ (ri[:, None] * xi)).ravel(),
                         (xi.T @ (di[:, None] * xi)).ravel(),
@@ -159,7 +163,11 @@ def cell_partials(stratum, time, event, weight, x, beta):
 
 
 def combine_cells(time, vectors, p) -> tuple[float, np.ndarray, np.ndarray]:
-    """Finish one stratum from the summed own-cell parts."""
+    """Finish one stratum from the own-cell parts, brought to one common shift."""
+    shift, vectors = vectors[:, 0] - vectors[:, 0].max(), vectors[:, 1:].copy()
+    vectors[:, 1] += vectors[:, 0] * shift
+    vectors[:, 2:4] *= np.exp(shift)[:, None]
+    vectors[:, 4 + p :] *= np.exp(shift)[:, None]
     times, where = np.unique(-np.asarray(time), return_inverse=True)
     cells = np.zeros((len(times), vectors.shape[1]))
     np.add.at(cells, where, vectors)

@@ -248,13 +248,15 @@ def link_stays(ll: DataFrame, stays: DataFrame, cfg: StudyConfig) -> DataFrame:
     """Per person: whether each outcome was met, earliest dates, mean rank.
 
     Stays that look alike collapse first, so a person with very many of them meets the
-    index list with at most one row per distinct stay. Join and roll-up share the
-    partitioning on the person key, and the index list is computed once.
+    index with at most one row per distinct stay. The roll-up is per person and index
+    date and narrow; the index list then joins it, so no row of the list is lost or merged.
     """
     shapes = collapse_records(stays, [KEY, "hospital_in", "hospital_out", "admitted", "died_in_stay"], "hospital_event_rank")
-    flagged = flag_stays(stay_lags(ll.join(shapes, KEY, "left")), cfg)
-    carried = [c for c in ll.columns if c != KEY]
-    out = roll_up_outcomes(flagged, KEY, fixed.STAY_OUTCOMES, "hospital_in", "hospital_out", ["past_hosp"], carried)
+    index = ll.select(KEY, INDEX).distinct()
+    flagged = flag_stays(stay_lags(index.join(shapes, KEY)), cfg)
+    rolled = roll_up_outcomes(flagged, [KEY, INDEX], fixed.STAY_OUTCOMES, "hospital_in", "hospital_out", ["past_hosp"])
+    same = (F.col(f"l.{KEY}") == F.col(f"r.{KEY}")) & F.col(f"l.{INDEX}").eqNullSafe(F.col(f"r.{INDEX}"))
+    out = ll.alias("l").join(rolled.alias("r"), same, "left").select("l.*", *[f"r.{c}" for c in rolled.columns[2:]])
     out = out.withColumns({**{o: clamp_count(o) for o in fixed.STAY_OUTCOMES}, "past_hosp": default_to("past_hosp", 0)})
     return out.where(F.col("past_hosp") == 0) if cfg.drop_prior_stays else out
 

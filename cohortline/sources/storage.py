@@ -12,13 +12,21 @@ from pyspark.sql import functions as F
 from cohortline.config import StudyConfig
 
 
+def one_machine(master: str) -> bool:
+    """True for masters whose driver is the only process."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the session.
 
-    Only a session that names none (tests on one machine) gets a temporary folder.
+    Only a session on one machine that names none (tests) gets a temporary folder; on a
+    cluster that would be a folder other machines cannot see, so it is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not one_machine(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="cohortline-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(known)
@@ -82,14 +90,24 @@ def label_results(df: DataFrame, datacut: str, date_name: str, model: str, agede
     )
 
 
+# The columns that name a result; each has its own folder.
+RESULT_LABELS = ("datacut", "date_name", "agedesc", "model")
+
+
 def write_results(
     df: DataFrame,
     path: str,
     fmt: str = "parquet",
-    partition_by: Sequence[str] = ("datacut", "model"),
+    partition_by: Sequence[str] = RESULT_LABELS,
 ) -> None:
-    """Result tables, one folder per data cut and model; reruns replace their own folders."""
+    """Result tables, one folder per data cut, run date, age set and model; reruns replace their own folders."""
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         writer = writer.option("header", True)
-    writer.partitionBy(*partition_by).format(fmt).save(path)
+    writer.partitionBy(*[c for c in partition_by if c in df.columns]).format(fmt).save(path)
+
+
+def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Results with their labels as text (folder names that look like dates are read as dates)."""
+    df = spark.read.format(fmt).option("header", True).load(path)
+    return df.withColumns({c: F.col(c).cast("string") for c in RESULT_LABELS if c in df.columns})

@@ -20,6 +20,7 @@ def arguments() -> argparse.Namespace:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--data", required=True)
     p.add_argument("--out", required=True)
+    p.add_argument("--checkpoint-dir", help="folder that driver and executors share; default: the session's, else OUT/checkpoints")
     p.add_argument("--format", default="csv", choices=["csv", "parquet"])
     p.add_argument("--suffix", default="", help="file name ending, for example .csv.gz")
     p.add_argument("--analysis", action="append", help="run only this analysis (repeatable)")
@@ -33,6 +34,8 @@ def arguments() -> argparse.Namespace:
 def main() -> None:
     args = arguments()
     spark = SparkSession.builder.appName("cohort study").getOrCreate()
+    if args.checkpoint_dir or not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(args.checkpoint_dir or f"{args.out.rstrip('/')}/checkpoints")
     given = {
         k: getattr(args, k)
         for k in ("date_start", "date_stop", "censor_date", "last_assay_date", "first_stay_date", "date_name")
