@@ -268,14 +268,17 @@ s5 AS (SELECT * FROM s4 WHERE date_dose_4 IS NULL AND date_dose_5 IS NULL AND da
 s6 AS (SELECT * FROM s5 WHERE date_dose_3 IS NULL OR date_dose_3 - date_dose_2 >= 80),
 s7 AS (SELECT * FROM s6 WHERE (p1 IS NULL OR p1 IN ('AZ', 'PF', 'MD')) AND (vacc_dose_2 IS NULL OR vacc_dose_2 IN ('AZ', 'PF', 'MD'))
   AND (vacc_dose_3 IS NULL OR vacc_dose_3 IN ('PF', 'MD'))),
+s8 AS (SELECT * FROM s7 WHERE NHS_nv = 0),
+s9 AS (SELECT * FROM s8 WHERE omicron = 1 OR delta = 1),
 n AS (SELECT 0 AS step, 'All records' AS label, count(*) AS n FROM f UNION ALL SELECT 1, 'In date range', count(*) FROM s1
   UNION ALL SELECT 2, 'Sex, age, deprivation and ethnicity known', count(*) FROM s2 UNION ALL SELECT 3, 'Not a traveller', count(*) FROM s3
   UNION ALL SELECT 4, 'Not dead before the test', count(*) FROM s4 UNION ALL SELECT 5, 'Fewer than four doses', count(*) FROM s5
-  UNION ALL SELECT 6, 'Dose 3 at least 80 days after dose 2', count(*) FROM s6 UNION ALL SELECT 7, 'Known products only', count(*) FROM s7)
+  UNION ALL SELECT 6, 'Dose 3 at least 80 days after dose 2', count(*) FROM s6 UNION ALL SELECT 7, 'Known products only', count(*) FROM s7
+  UNION ALL SELECT 8, 'Valid identifier', count(*) FROM s8 UNION ALL SELECT 9, 'Known exposure', count(*) FROM s9)
 SELECT step, label, n, coalesce(lag(n) OVER (ORDER BY step) - n, 0) AS dropped FROM n)""",
 )
 def ledger(p):
-    return attrition_ledger(derivation.with_index_date(p.cases), derivation.filter_steps(CASES))
+    return attrition_ledger(derivation.with_index_date(p.cases), derivation.ledger_steps(CASES))
 
 
 @query(

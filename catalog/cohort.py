@@ -175,13 +175,13 @@ _BAND_SUMS = ", ".join(f"count(*) FILTER (ageband = '{b}') AS {c}" for c, b in _
 @query(
     "count_matrix_by_date",
     " UNION ALL ".join(
-        f"SELECT '{v}' AS voc, '{t}' AS type, last_specimen_date AS date, {_BAND_SUMS} FROM strata WHERE {vc} AND {tc} AND ageband IS NOT NULL GROUP BY last_specimen_date"
+        f"SELECT '{v}' AS voc, '{t}' AS type, last_specimen_date AS date, {_BAND_SUMS} FROM {'strata' if v == 'all' else 'known'} WHERE {vc} AND {tc} AND ageband IS NOT NULL GROUP BY last_specimen_date"
         for v, vc in (("all", "TRUE"), ("omicron", "omicron = 1"), ("delta", "delta = 1"))
         for t, tc in (("case", "TRUE"), ("hosp", "hosp = 1"))
     ),
 )
 def count_matrix(p):
-    return reports.counts_by_date(p.derived, _BANDS)
+    return reports.counts_by_date(p.derived, _BANDS, p.known)
 
 
 def _delay_sql(delay: dict[str, str], keep: dict[str, str], groups: dict[str, dict[str, str]]) -> str:

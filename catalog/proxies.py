@@ -182,7 +182,7 @@ class Proxies:
         return self.lineitem.select(
             F.col("l_orderkey").alias("finalid"), F.col("l_linenumber").alias("dose_number"),
             F.col("l_shipdate").alias("date_dose"), F.col("l_returnflag").alias("vacc_dose"),
-        ).where("dose_number <= 6")
+        )
 
     @cached_property
     def travel(self) -> DataFrame:
@@ -367,7 +367,7 @@ SELECT o_custkey AS finalid, CAST(CASE WHEN l_linenumber = 7 THEN 4 ELSE (l_line
 FROM lines WHERE l_quantity <= 4""",
     "order_doses": """
 SELECT l_orderkey AS finalid, l_linenumber AS dose_number, CAST(l_shipdate AS DATE) AS date_dose, l_returnflag AS vacc_dose
-FROM lineitem WHERE l_linenumber <= 6""",
+FROM lineitem""",
     "travel": """
 SELECT o_custkey AS finalid, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Yes' ELSE 'No' END AS overall_travel,
   o_orderdate - 30 AS travel_specimen_date FROM ord""",

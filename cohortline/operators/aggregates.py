@@ -81,13 +81,14 @@ def widen(
     """Long to wide: per sequence number the record with the earliest ``order``.
 
     Duplicates of (key, number) resolve to the earliest known ``order`` and then to
-    the smallest values. Columns are named ``<value>_<number>``.
+    the smallest values. Columns are named ``<value>_<number>``. Other numbers have no
+    column; an entity that has only those keeps a row without values.
     """
     aggs = []
     for k in numbers:
         packed = F.struct(F.col(order).isNull().alias("_missing"), F.col(order), *values)
         aggs.append(F.min(F.when(F.col(number) == k, packed)).alias(f"_r{k}"))
-    wide = df.where(F.col(number).isin(*numbers)).groupBy(key).agg(*aggs)
+    wide = df.groupBy(key).agg(*aggs)
     out = [F.col(f"_r{k}.{v}").alias(f"{v}_{k}") for v in values for k in numbers]
     out += [F.col(f"_r{k}.{order}").alias(f"{order}_{k}") for k in numbers]
     return wide.select(key, *out)

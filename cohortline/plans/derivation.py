@@ -55,6 +55,17 @@ def filter_steps(cfg: StudyConfig) -> list[Step]:
     ]
 
 
+def ledger_steps(cfg: StudyConfig) -> list[Step]:
+    """All steps down to the analysed records: the filters, then selection and exposure."""
+    omicron, delta, steps = "omicron", "delta", filter_steps(cfg)
+    if cfg.pillar2_only:
+        omicron, delta = "omicron4", "delta4"
+        steps.append(Step("Pillar 2", F.col("pillar") == "Pillar 2"))
+    if cfg.valid_id_only:
+        steps.append(Step("Valid identifier", F.col("NHS_nv") == 0))
+    return [*steps, Step("Known exposure", (F.col(omicron) == 1) | (F.col(delta) == 1))]
+
+
 def exposure_status(df: DataFrame, cfg: StudyConfig, index: str = INDEX) -> DataFrame:
     """Vaccination status from the lags of three doses to the index date."""
     effect = cfg.dose_effect_days

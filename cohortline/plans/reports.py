@@ -17,8 +17,15 @@ STAY_LENGTH_WINDOW = (0, 7)
 OUTCOMES = ("hosp", "hospA")
 
 
-def counts_by_date(df: DataFrame, bands: Mapping[str, str]) -> DataFrame:
-    """Cases and stays per day and age band: all, exposed and unexposed."""
+def counts_by_date(df: DataFrame, bands: Mapping[str, str], analysed: DataFrame | None = None) -> DataFrame:
+    """Cases and stays per day and age band: all, exposed and unexposed.
+
+    ``df`` is the data cut. Exposed and unexposed counts come from ``analysed``, the records
+    that are analysed, where these are not the whole cut (imputed exposure, a subset).
+    """
+    if analysed is not None:
+        every = counts_by_date(df, bands).where("voc = 'all'")
+        return every.unionByName(counts_by_date(analysed, bands).where("voc <> 'all'"))
     omicron, delta, hosp = F.col("omicron") == 1, F.col("delta") == 1, F.col("hosp") == 1
     every = F.lit(True)
     groups = {

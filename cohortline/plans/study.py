@@ -89,7 +89,7 @@ def run_analysis(
     cut = staged(derivation.analysis_table(linked, cfg), "cut")
     specs = list(specs) if specs is not None else [models.MODELS[j] for j in analysis.model_set]
     out: dict[str, tuple[str, DataFrame]] = {
-        "attrition": ("attrition", attrition_ledger(derivation.with_index_date(linked), derivation.filter_steps(cfg)))
+        "attrition": ("attrition", attrition_ledger(derivation.with_index_date(linked), derivation.ledger_steps(cfg)))
     }
     if analysis.bootstrap:
         for spec in specs:
@@ -108,7 +108,7 @@ def run_analysis(
             out[name] = ("shares", retained_share(rows, fixed.STRATIFICATION_NAMES, "omicron", "delta", "hosp"))
     if analysis.counts:
         bands = {f"age_{i}": b for i, b in enumerate(band_labels(fixed.AGE_BREAKS))}
-        out["num_age_date"] = ("counts", reports.counts_by_date(cut, bands))
+        out["num_age_date"] = ("counts", reports.counts_by_date(cut, bands, cohort))
         declared = {"ageband": band_labels(fixed.AGE_BREAKS)}
         table = models.table_with_hazards(cohort, cfg, declared=declared).withColumn("row_label", models.row_label())
         out["num_tab"] = ("counts", models.in_report_order(table))

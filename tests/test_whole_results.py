@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from cohortline.config import StudyConfig
 from cohortline.functions.randomness import uniform
-from cohortline.operators import hazard, joins, logistic, resampling
+from cohortline.operators import aggregates, hazard, joins, logistic, resampling
 from cohortline.operators.design import factor, number
-from cohortline.plans import linkage
+from cohortline.plans import ascertainment, derivation, linkage, reports
 from cohortline.sources import storage
 from tests.helpers import by_key, day, rows
 
@@ -92,3 +92,29 @@ def test_only_one_machine_may_use_its_own_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(Session)
+
+
+def test_other_numbers_keep_their_entity_when_widened(spark):
+    df = spark.createDataFrame([(1, 7, day(0), "AZ"), (2, 1, day(0), "PF"), (2, 9, day(1), "MD")], "k int, n int, d date, v string")
+    assert rows(aggregates.widen(df, "k", "n", [1, 2], "d", ["v"]), "k", "v_1", "v_2") == [(1, None, None), (2, "PF", None)]
+
+
+def test_ledger_ends_at_the_analysed_records():
+    labels = [s.label for s in derivation.ledger_steps(StudyConfig())]
+    assert labels[-2:] == ["Valid identifier", "Known exposure"]
+    assert "Pillar 2" in [s.label for s in derivation.ledger_steps(StudyConfig(pillar2_only=True))]
+    assert "Valid identifier" not in [s.label for s in derivation.ledger_steps(StudyConfig(valid_id_only=False))]
+
+
+def test_date_matrix_takes_variants_from_the_analysed_records(spark):
+    columns = "last_specimen_date date, ageband string, omicron int, delta int, hosp int"
+    cut = spark.createDataFrame([(day(0), "a", 1, 0, 0), (day(0), "a", 0, 1, 1), (day(0), "a", 0, 0, 0)], columns)
+    out = reports.counts_by_date(cut, {"n": "a"}, cut.where("omicron = 1"))
+    assert rows(out.where("type = 'case'"), "voc", "n") == [("all", 3), ("omicron", 1)]
+
+
+def test_a_single_run_draws_one_share_per_band(spark):
+    df = spark.createDataFrame([(k, "[20,30)") for k in range(5)], "k int, ageband string")
+    mean = {r.prop_rep for r in ascertainment.reported_shares(df).collect()}
+    drawn = [{r.prop_rep for r in ascertainment.drawn_shares(df, seed).collect()} for seed in (1, 1, 2)]
+    assert [len(d) for d in drawn] == [1, 1, 1] and drawn[0] == drawn[1] != drawn[2] and drawn[0] != mean
