@@ -10,8 +10,10 @@ which hold checksums stays sound.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortline.llm.bpe import remember, slices
+from cohortline.llm.bpe import ONE_WORD, PIECES, UNSURE, byte_letters, remember, slices
 from cohortline.llm.common import stored, text_or_empty, travels
 from cohortline.sources.storage import staging_path
 
@@ -70,28 +72,44 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class Pieces:
-    """The library's ids of whole texts, each distinct white-space-delimited piece encoded once.
+    """The library's ids of whole texts, each distinct piece encoded once.
 
-    The file's pre-tokenizer drops white space and joins nothing across it, so the ids of
-    a text are those of its pieces.
+    The file's pre-tokenizer drops white space, joins nothing across it, and parts letters
+    from marks, so the ids of a text are those of its pieces. Words of plain letters go
+    straight to the library's model, lower-cased as its normalizer does; all else goes
+    through the whole library.
     """
 
     def __init__(self, content: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.library = Tokenizer.from_str(content)
         self.library.no_truncation()
         self.library.no_padding()
+        self.merge = self.library.model.tokenize
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.narrow = self.library.get_vocab_size() <= 1 << 16
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({p for pieces in cut for p in pieces if p not in self.known})
-        ids = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(fresh, self.library.encode_batch(fresh, add_special_tokens=False), strict=True)}
-        get, known = ids.get, self.known.get
-        out = [np.frombuffer(b"".join([get(p) or known(p) or b"" for p in pieces]), "<u4") for pieces in cut]
-        for p, value in ids.items():
-            remember(self.known, p, value)
-        return out
+    def encode_piece(self, piece: str) -> bytes:
+        if ONE_WORD.fullmatch(piece):
+            word = "".join([self.letters[b] for b in piece.lstrip(" ").lower().encode()])
+            return array("I", [t.id for t in self.merge(word)]).tobytes()
+        return array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit numbers."""
+        if UNSURE.search(text):
+            return self.encode_piece(text)
+        known, pieces = self.known, PIECES.findall(text)
+        out = [known.get(p) for p in pieces]
+        for k, ids in enumerate(out):
+            if ids is None:
+                piece = pieces[k]
+                if (ids := known.get(piece)) is None:
+                    ids = self.encode_piece(piece)
+                    remember(known, piece, ids)
+                out[k] = ids
+        return b"".join(out)
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, parts: int | None = None) -> DataFrame:
@@ -116,9 +134,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
         with store.open_output_stream(f"{base}/{name}.rec{attempt}") as data, store.open_output_stream(f"{base}/{name}.idx{attempt}") as index:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    doc_ids = part.column("doc_id").to_pylist()
-                    for doc_id, ids in zip(doc_ids, encoder.encode(part.column("text").to_pylist()), strict=True):
-                        ids = np.append(ids, np.uint32(end_id))
+                    for doc_id, text in zip(part.column("doc_id"), part.column("text"), strict=True):
+                        doc_id, ids = doc_id.as_py(), np.append(np.frombuffer(encoder.encode(text.as_py()), "<u4"), np.uint32(end_id))
                         record = frame(payload := pack_ids(doc_id, ids, encoder.narrow))
                         data.write(record)
                         index.write(struct.pack(INDEX, offset, len(payload), before))
