@@ -218,10 +218,11 @@ def fit_hazards(patterns: Patterns, standard_errors: bool = True, eps: float = E
 
 
 def score_test(df: DataFrame, fits: Sequence[str], stratum: Sequence[str], time: str, event: str, x: str) -> DataFrame:
-    """Score, information and chi-square of one covariate at zero, in plain DataFrame operations.
+    """Score, information and chi-square of one covariate at zero.
 
     With no effect every record has weight one, so the risk sets are counts: records
-    collapse to (stratum, time), and the window runs over times within a stratum.
+    collapse to (stratum, time), and the window runs over times within a stratum. The sums
+    over tied events are made per cell, in constant time where there are many.
     """
     from pyspark.sql.window import Window
 
@@ -237,13 +238,9 @@ def score_test(df: DataFrame, fits: Sequence[str], stratum: Sequence[str], time:
         *fits, "d", "d1", "d2",
         *[F.sum(c).over(at_risk).alias(s) for c, s in (("c0", "s0"), ("c1", "s1"), ("c2", "s2"))],
     ).where("d > 0")
-    f = F.col("l") / F.col("d")
-    ties = risk.withColumn("l", F.explode(F.sequence(F.lit(0), (F.col("d") - 1).cast("int"))))
-    a0, a1, a2 = F.col("s0") - f * F.col("d"), F.col("s1") - f * F.col("d1"), F.col("s2") - f * F.col("d2")
-    first = F.when(F.col("l") == 0, F.col("d1")).otherwise(0.0)
-    summed = ties.groupBy(*fits).agg(
-        F.sum(first - a1 / a0).alias("score"), F.sum(a2 / a0 - (a1 / a0) * (a1 / a0)).alias("information")
-    )
+    schema = risk.select(*fits).schema.add("score", "double").add("information", "double")
+    cells = risk.mapInArrow(risksets.tie_scores(list(fits)), schema)
+    summed = cells.groupBy(*fits).agg(F.sum("score").alias("score"), F.sum("information").alias("information"))
     return summed.withColumn("chi_square", F.try_divide(F.col("score") * F.col("score"), F.col("information")))
 
 

@@ -72,6 +72,21 @@ def _tie_sums_per_cell(s0, d0, d) -> np.ndarray:
     return out
 
 
+def tie_scores(fits: list[str]):
+    """Arrow batches of cells (counts at zero effect) to score and information of each cell."""
+
+    def run(batches):
+        for b in batches:
+            s0, s1, s2, d, d1, d2 = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("s0", "s1", "s2", "d", "d1", "d2"))
+            _, h0, h1, g0, g1, g2 = _tie_sums_per_cell(s0, d, d).T
+            score = d1 - (s1 * h0 - d1 * h1)
+            info = s2 * h0 - d2 * h1 - (s1 * s1 * g0 - 2 * s1 * d1 * g1 + d1 * d1 * g2)
+            kept = [b.column(c) for c in fits]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(score), pa.array(info)], names=[*fits, "score", "information"])
+
+    return run
+
+
 def _running_within(values: np.ndarray, position: np.ndarray) -> np.ndarray:
     """Cumulative sum of cell rows inside each stratum; ``position`` counts from 0."""
     out = values.copy()

@@ -118,3 +118,11 @@ def test_a_single_run_draws_one_share_per_band(spark):
     mean = {r.prop_rep for r in ascertainment.reported_shares(df).collect()}
     drawn = [{r.prop_rep for r in ascertainment.drawn_shares(df, seed).collect()} for seed in (1, 1, 2)]
     assert [len(d) for d in drawn] == [1, 1, 1] and drawn[0] == drawn[1] != drawn[2] and drawn[0] != mean
+
+
+def test_score_of_a_cell_with_very_many_ties(spark):
+    n = 2_000_000
+    df = spark.range(n).select(F.lit("a").alias("f"), F.lit(0).alias("s"), F.lit(1.0).alias("t"), F.lit(1).alias("e"), (F.col("id") % 4 == 0).cast("int").alias("x"))
+    out = hazard.score_test(df, ["f"], ["s"], "t", "e", "x").first()
+    # all at risk die at once, so exposed and unexposed are removed in proportion
+    assert abs(out.score) < 1e-3 and abs(out.information - n * 0.25 * 0.75) / n < 1e-5
