@@ -8,6 +8,7 @@ attention pools its states, and a text is as toxic as its most toxic window.
 from __future__ import annotations
 
 import re
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -46,20 +47,24 @@ def grams_of(word: str) -> list[int]:
     return [crc32(marked[k : k + n]) for n in GRAMS for k in range(max(1, len(marked) - n + 1))]
 
 
-def two_buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
+def two_buckets(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """A bucket in each of two tables that lie end to end, from the low and from the high bits."""
-    return np.stack([hashes % buckets, buckets + (hashes >> 32 - buckets.bit_length() + 1)])
+    return hashes % buckets, buckets + (hashes >> 32 - buckets.bit_length() + 1)
 
 
 class Words:
     """Hashes of distinct words: ``word`` (one each) and of their ``grams`` (ragged, by ``at``)."""
 
     def __init__(self, words: list[str]):
-        self.word = np.array([crc32(w.encode()) for w in words], np.int64)
-        lists = [grams_of(w) for w in words]
-        self.count = np.array([len(x) for x in lists], np.int64)
+        self.word = np.array([crc32(w.encode()) for w in words], np.uint32)
+        flat, counts = array("I"), array("I")
+        for w in words:
+            grams = grams_of(w)
+            counts.append(len(grams))
+            flat.extend(grams)
+        self.count = np.array(counts, np.int64)
         self.at = np.cumsum(self.count) - self.count
-        self.grams = np.array([g for x in lists for g in x], np.int64)
+        self.grams = np.array(flat, np.uint32)
 
     def take(self, numbers: np.ndarray) -> Words:
         """The given words of the table."""
@@ -187,8 +192,8 @@ class Model:
         Texts are counted in two hash tables, and the smaller count is taken. ``without``
         leaves out one text of that label: the one that is being learned from.
         """
-        at = two_buckets(hashes, WORD_BUCKETS if kind == "word" else GRAM_BUCKETS)
-        clean, toxic = self.seen[kind][0][at].min(axis=0), self.seen[kind][1][at].min(axis=0)
+        low, high = two_buckets(hashes, WORD_BUCKETS if kind == "word" else GRAM_BUCKETS)
+        clean, toxic = (np.minimum(seen[low], seen[high]) for seen in self.seen[kind])
         if without is not None:
             clean, toxic = (clean, toxic - 1) if without else (clean - 1, toxic)
         toxic, clean = np.maximum(toxic, 0) + PRIOR * self.rate, np.maximum(clean, 0) + PRIOR * (1 - self.rate)
@@ -204,8 +209,8 @@ class Model:
     def count(self, texts: list[Words], labels: np.ndarray) -> None:
         self.rate = float((labels.sum() + 0.5) / (len(labels) + 1))
         for words, label in zip(texts, labels.tolist(), strict=True):
-            self.seen["word"][label][np.unique(two_buckets(words.word, WORD_BUCKETS))] += 1
-            self.seen["gram"][label][np.unique(two_buckets(words.grams, GRAM_BUCKETS))] += 1
+            self.seen["word"][label][np.unique(np.concatenate(two_buckets(words.word, WORD_BUCKETS)))] += 1
+            self.seen["gram"][label][np.unique(np.concatenate(two_buckets(words.grams, GRAM_BUCKETS)))] += 1
 
     def logits(self, gates: dict[str, np.ndarray], ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Logits of windows of a run of word numbers (``ids`` index the rows of ``gates``)."""
