@@ -25,9 +25,9 @@ from cohortline.llm.common import stored, text_or_empty, travels
 # Length of the strings, and of the grams that anchor them.
 LENGTH, GRAM = 50, 16
 # Bytes of text in a block (a longer text alone), and for each part that anchors are dealt to.
-BLOCK_BYTES, PART_BYTES = 2 << 20, 8 << 20
+BLOCK_BYTES, PART_BYTES = 1 << 20, 4 << 20
 # Symbols of a transform; the pieces of one anchor stay together.
-SYMBOLS = 2 << 20
+SYMBOLS = 1 << 18
 # What is sent back to the blocks is broadcast when it was counted to be no larger.
 BROADCAST_BYTES = 32 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -95,7 +95,7 @@ class Pieces:
         begin = np.flatnonzero(new)
         self.start, self.windows = at[begin], np.diff(np.append(begin, len(at)))
         self.offset = place[begin] - self.start
-        self.anchor = grams[place[begin]]
+        self.anchor = mixed(grams[place[begin]])  # least hashes are all small: mixed anew they deal evenly
         self.part = (((self.anchor >> U32) * np.uint64(parts)) >> U32).astype(np.int64)
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
         content = hashes.of(self.start, self.start + self.windows + LENGTH - 1)
@@ -161,11 +161,33 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "block long, n_bytes long, data binary")
 
 
+def chunks(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs (begin, end) of items whose sizes add up to about ``most``, an item at least."""
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    edges = [0, *cut.tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+
+
 def opened(data: bytes, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Pieces]:
     doc_ids, offsets, text = unpack(data, "<i8", "<i8", "u1")
     return doc_ids, offsets, text, Pieces(text, offsets, parts)
 
 
+def each_block(df: DataFrame, work, schema: dict[str, pa.DataType]) -> DataFrame:
+    """Rows that ``work`` makes of one row of blocks at a time, without copies of a whole batch."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = list(work(*[column[i] for column in batch.columns]))
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=list(schema))
+
+    spelled = {pa.int64(): "long", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    return df.mapInArrow(run, ", ".join(f"{c} {spelled[t]}" for c, t in schema.items()))
+
+
 def by_part(part: np.ndarray) -> list[tuple[int, int, int]]:
     """(part, begin, end) of the runs of a sorted array."""
     cut = np.flatnonzero(np.diff(part)) + 1
@@ -176,25 +198,23 @@ def by_part(part: np.ndarray) -> list[tuple[int, int, int]]:
 def anchors(blocks: DataFrame, parts: int) -> DataFrame:
     """Distinct anchors of each block and part, and whether two texts of the block hold them."""
 
-    def run(frames):
-        for frame in frames:
-            for block, data in zip(frame["block"], frame["data"], strict=True):
-                doc_ids, _, _, pieces = opened(data, parts)
-                low, high = pieces.extremes(doc_ids)
-                part, gram = pieces.part[pieces.first], (pieces.anchor[pieces.first] & LOW).astype(np.uint32)
-                order = np.lexsort((gram, part))
-                part, gram, low, high = part[order], gram[order], low[order], high[order]
-                new = np.ones(len(gram), bool)
-                new[1:] = (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])
-                heads = np.flatnonzero(new)
-                if not len(heads):
-                    continue
-                several = np.minimum.reduceat(low, heads) < np.maximum.reduceat(high, heads)
-                part, gram = part[heads], gram[heads]
-                rows = [(p, block, gram[a:b].tobytes(), np.packbits(several[a:b]).tobytes()) for p, a, b in by_part(part)]
-                yield pd.DataFrame(rows, columns=["part", "block", "grams", "several"])
-
-    return blocks.select("block", "data").mapInPandas(run, "part long, block long, grams binary, several binary")
+    def work(block, data):
+        doc_ids, _, _, pieces = opened(data.as_buffer(), parts)
+        low, high = pieces.extremes(doc_ids)
+        part, gram = pieces.part[pieces.first], (pieces.anchor[pieces.first] & LOW).astype(np.uint32)
+        order = np.lexsort((gram, part))
+        part, gram, low, high = part[order], gram[order], low[order], high[order]
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])
+        heads = np.flatnonzero(new)
+        if len(heads):
+            several = np.minimum.reduceat(low, heads) < np.maximum.reduceat(high, heads)
+            part, gram = part[heads], gram[heads]
+            for p, a, b in by_part(part):
+                yield p, block.as_py(), gram[a:b].tobytes(), np.packbits(several[a:b]).tobytes()
+
+    schema = {"part": pa.int64(), "block": pa.int64(), "grams": pa.binary(), "several": pa.binary()}
+    return each_block(blocks.select("block", "data"), work, schema)
 
 
 def shared_anchors(found: DataFrame) -> DataFrame:
@@ -226,31 +246,26 @@ def with_replies(blocks: DataFrame, replies: DataFrame) -> DataFrame:
 def shared_pieces(asked: DataFrame, parts: int) -> DataFrame:
     """Distinct pieces of each block whose anchors are shared: part, block, data."""
 
-    def run(frames):
-        for frame in frames:
-            for block, data, names, replies in zip(frame["block"], frame["data"], frame["parts"], frame["replies"], strict=True):
-                if names is None:
-                    continue
-                doc_ids, _, text, pieces = opened(data, parts)
-                low, high = pieces.extremes(doc_ids)
-                part, gram = pieces.part[pieces.first], (pieces.anchor[pieces.first] & LOW).astype(np.uint32)
-                flags, rows = dict(zip(names, replies, strict=True)), []
-                for p, a, b in by_part(part):
-                    distinct, of = np.unique(gram[a:b], return_inverse=True)
-                    shared = np.unpackbits(np.frombuffer(flags[p], np.uint8), count=len(distinct))[of] == 1
-                    if not shared.any():
-                        continue
-                    number = np.flatnonzero(shared)
-                    one = pieces.first[a:b][number]
-                    start, windows = pieces.start[one], pieces.windows[one]
-                    size = windows + LENGTH - 1
-                    body = text[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
-                    arrays = (number.astype(np.uint32), low[a:b][number], high[a:b][number], pieces.offset[one].astype(np.uint8), windows.astype(np.uint8), body)
-                    rows.append((p, block, pack(*arrays)))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["part", "block", "data"])
-
-    return asked.mapInPandas(run, "part long, block long, data binary")
+    def work(block, data, names, replies):
+        if not names.is_valid:
+            return
+        doc_ids, _, text, pieces = opened(data.as_buffer(), parts)
+        low, high = pieces.extremes(doc_ids)
+        part, gram = pieces.part[pieces.first], (pieces.anchor[pieces.first] & LOW).astype(np.uint32)
+        flags = dict(zip(names.as_py(), replies.as_py(), strict=True))
+        for p, a, b in by_part(part):
+            distinct, of = np.unique(gram[a:b], return_inverse=True)
+            number = np.flatnonzero(np.unpackbits(np.frombuffer(flags[p], np.uint8), count=len(distinct))[of])
+            if not len(number):
+                continue
+            one = pieces.first[a:b][number]
+            start, windows = pieces.start[one], pieces.windows[one]
+            size = windows + LENGTH - 1
+            body = text[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
+            arrays = (number.astype(np.uint32), low[a:b][number], high[a:b][number], pieces.offset[one].astype(np.uint8), windows.astype(np.uint8), body)
+            yield p, block.as_py(), pack(*arrays)
+
+    return each_block(asked, work, {"part": pa.int64(), "block": pa.int64(), "data": pa.binary()})
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -325,12 +340,14 @@ def earlier_windows(sent: DataFrame) -> DataFrame:
         windows, offset = windows.astype(np.int64), offset.astype(np.int64)
         size = windows + LENGTH - 1
         begin = np.cumsum(size) - size
-        hashes = Hashes(body)
-        content = hashes.of(begin, begin + size)
+        content, grams = np.empty(len(size), np.uint64), np.empty(len(size), np.uint64)
+        for a, b in chunks(size, SYMBOLS):
+            at, length, hashes = begin[a:b] - begin[a], size[a:b], Hashes(body[begin[a] : begin[b - 1] + size[b - 1]])
+            content[a:b], grams[a:b] = hashes.of(at, at + length), hashes.of(at + offset[a:b], at + offset[a:b] + GRAM)
         _, first, of = np.unique(content, return_index=True, return_inverse=True)
         doc = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(doc, of, low)
-        gram = hashes.of(begin[first] + offset[first], begin[first] + offset[first] + GRAM)
+        gram = grams[first]
         order = np.argsort(gram, kind="stable")
         alone = np.ones(len(order) + 1, bool)
         alone[1:-1] = gram[order][1:] != gram[order][:-1]
@@ -373,12 +390,12 @@ def earlier_windows(sent: DataFrame) -> DataFrame:
 def removed(asked: DataFrame, parts: int) -> DataFrame:
     """Apply the replies: doc_id, kept, n_bytes, n_removed, starts, ends."""
 
-    def rows(data, names, replies):
-        doc_ids, offsets, text, pieces = opened(data, parts)
+    def work(block, data, names, replies):
+        doc_ids, offsets, text, pieces = opened(data.as_buffer(), parts)
         change = np.zeros(len(text) + 1, np.int64)
         bounds = {p: a for p, a, _ in by_part(pieces.part[pieces.first])}
         edges = np.append(pieces.heads, len(pieces.order))
-        for p, reply in zip(() if names is None else names, () if names is None else replies, strict=True):
+        for p, reply in zip(names.as_py() or (), replies.as_py() or (), strict=True):
             number, first, last, value = unpack(reply, "<u4", "u1", "u1", "<i8")
             distinct = number.astype(np.int64) + bounds[p]
             n = edges[distinct + 1] - edges[distinct]
@@ -394,14 +411,9 @@ def removed(asked: DataFrame, parts: int) -> DataFrame:
             turn = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
             yield doc_id, own[~mine].tobytes(), len(own), int(mine.sum()), turn[::2], turn[1::2]
 
-    def run(frames):
-        for frame in frames:
-            for data, names, replies in zip(frame["data"], frame["parts"], frame["replies"], strict=True):
-                columns = ["doc_id", "kept", "n_bytes", "n_removed", "starts", "ends"]
-                yield pd.DataFrame(list(rows(data, names, replies)), columns=columns)
-
-    schema = "doc_id long, kept binary, n_bytes long, n_removed long, starts array<long>, ends array<long>"
-    return asked.mapInPandas(run, schema)
+    runs = pa.list_(pa.int64())
+    schema = {"doc_id": pa.int64(), "kept": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "starts": runs, "ends": runs}
+    return each_block(asked, work, schema)
 
 
 def drop_repeated_strings(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
