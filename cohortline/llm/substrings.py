@@ -1,7 +1,7 @@
 """Substring dedup: 50-byte strings found by interval expansion on Burrows-Wheeler transforms.
 
 Texts are cut into pieces so that equal 50-byte strings meet in one task, whatever their
-documents. Of the 16-byte grams in a 50-byte window the one with the least hash (the
+documents. Of the 24-byte grams in a 50-byte window the one with the least hash (the
 rightmost of equals) is the window's anchor; windows that follow each other and share
 an anchor are a piece. Equal windows have equal anchors, so the pieces of an anchor hold
 all their occurrences. Equal pieces count once, with their smallest doc_id.
@@ -23,13 +23,11 @@ from pyspark.sql import functions as F
 from cohortline.llm.common import stored, text_or_empty, travels
 
 # Length of the strings, and of the grams that anchor them.
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 # Bytes of text in a block (a longer text alone), and for each part that anchors are dealt to.
 BLOCK_BYTES, PART_BYTES = 1 << 20, 4 << 20
 # Symbols of a transform; the pieces of one anchor stay together.
 SYMBOLS = 1 << 18
-# What is sent back to the blocks is broadcast when it was counted to be no larger.
-BROADCAST_BYTES = 32 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 LOW = np.uint64(0xFFFFFFFF)
@@ -234,13 +232,11 @@ def shared_anchors(found: DataFrame) -> DataFrame:
 def with_replies(blocks: DataFrame, replies: DataFrame) -> DataFrame:
     """Blocks with what the parts sent back: block, data, parts, replies.
 
-    Broadcast if the stored replies are counted small, so that no text moves; else a join.
+    A plain join at every size: replies grow with the input, so they are not broadcast.
     """
-    size = replies.agg(F.sum(F.octet_length("data") + F.lit(24))).scalar()
-    total = blocks.sparkSession.range(1).select(F.coalesce(size, F.lit(0)).alias("n")).first().n
     packed = replies.groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("r"))  # a block's parts at most
     packed = packed.select("block", F.col("r.part").alias("parts"), F.col("r.data").alias("replies"))
-    return blocks.select("block", "data").join(F.broadcast(packed) if total <= BROADCAST_BYTES else packed, "block", "left")
+    return blocks.select("block", "data").join(packed, "block", "left")
 
 
 def shared_pieces(asked: DataFrame, parts: int) -> DataFrame:
@@ -428,11 +424,11 @@ def drop_repeated_strings(docs: DataFrame, part_bytes: int = PART_BYTES) -> Data
     hash range and learns which are shared by two texts. The second sends the distinct
     pieces of shared anchors; each part sorts the suffixes of its pieces, expands the
     intervals of their transform up to 50 bytes and finds for every window the smallest
-    doc_id. The third applies the runs of windows that come back. Blocks stay where they are
-    while replies are small. Parts grow in number with the input, and a text, line or
+    doc_id. The third applies the runs of windows that come back. Replies meet their blocks
+    by a join on the block. Parts grow in number with the input, and a text, line or
     passage that many documents share counts once for each block, so no part gathers its
     documents. The pieces of one anchor do meet in one part: as many as there are
-    different neighbourhoods of one 16-byte gram.
+    different neighbourhoods of one 24-byte gram.
 
     NULL and empty texts, and those under 50 bytes, keep all bytes. Of rows that repeat a doc_id
     neither is earlier. NULL doc_id counts as the smallest of all. An empty table gives an

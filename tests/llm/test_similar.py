@@ -104,10 +104,9 @@ def test_substrings_of_odd_rows(spark):
     assert strings(odd_docs(spark, [])) == []
 
 
-@pytest.mark.parametrize(("symbols", "broadcast"), [(2 << 20, 32 << 20), (3000, 0)])
-def test_substrings_of_few_letters(spark, monkeypatch, symbols, broadcast):
+@pytest.mark.parametrize("symbols", [2 << 20, 3000])
+def test_substrings_of_few_letters(spark, monkeypatch, symbols):
     monkeypatch.setattr(substrings, "SYMBOLS", symbols)
-    monkeypatch.setattr(substrings, "BROADCAST_BYTES", broadcast)
     rng = random.Random(3)
     base = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 120))) for _ in range(6)] + ["a" * 200, "ab" * 90, "\x00" * 70, "é" * 60]
     text = lambda: "".join(rng.choice(base)[rng.randint(0, 30) : rng.randint(40, 200)] for _ in range(rng.randint(0, 5)))
@@ -125,3 +124,10 @@ def test_interval_edges_are_common_prefixes():
     for r in range(1, len(order)):
         a, b = text[order[r - 1] :][:50], text[order[r] :][:50]
         assert edge[r] == (a != b)
+
+
+def test_anchors_are_dealt_evenly_to_parts():
+    data = np.random.default_rng(7).integers(97, 123, 100_000).astype(np.uint8)
+    pieces = substrings.Pieces(data, np.array([0, len(data)]), 16)
+    counts = np.bincount(pieces.part, minlength=16)
+    assert counts.min() > 0.8 * counts.mean() and counts.max() < 1.2 * counts.mean()
