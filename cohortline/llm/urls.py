@@ -20,8 +20,11 @@ RULES = (
 HOST = r"(?s)^.*?://([^/?#]*)"
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
-# Seed mass in whole units, so that sums do not depend on their order; follow 85 of 100.
-MASS, FOLLOW, ROUNDS = 10**12, 85, 8
+# Follow 85 of 100. Whole units of the mass of a kind, so that sums do not depend on their
+# order; rounds between two stored tables; share of a seed's mass that may be left to move.
+FOLLOW, UNITS, BATCH, TOLERANCE = 85, 10**30, 8, 1e-9
+# Units and rounds of the SQL twin, which stops there.
+MASS, ROUNDS = 10**12, 8
 
 
 def host_of(url: Column) -> Column:
@@ -55,45 +58,64 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' AND src <> dst").distinct()
 
 
-def spread(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank: trust along links, distrust against them.
 
     ``seeds`` has kind (``allow`` or ``block``), host and n; the mass of a kind is shared
-    among its seeds by n. Integer arithmetic makes the result independent of task order.
-    Returns kind, host, mass.
+    among its seeds by n. Whole units (38 digits) make the result independent of task order.
+    A passed share is rounded up, so a host that can be reached never has 0, however many
+    seeds share the mass. Mass is added along paths of growing length until nothing moves, or
+    until every seed has less than ``tolerance`` of its own mass to move and the last round
+    reached no host for the first time. Both limits hold seed by seed, so a neighbourhood
+    gets the same rounds in a small and in a large table. Returns kind, host, mass.
     """
-    totals = seeds.groupBy("kind").agg(F.sum("n").alias("total"))
-    start = stored(seeds.join(F.broadcast(totals), "kind").select("kind", "host", F.expr(f"n * ({MASS} div total)").alias("mass")), "url-seeds")
+    big = "decimal(38,0)"
+    totals = seeds.groupBy("kind").agg(F.sum("n").cast(big).alias("total"))
+    # floor(n * units / total) without a product of more than 38 digits
+    units = UNITS * (100 - FOLLOW) // 100
+    first = seeds.join(F.broadcast(totals), "kind").select("kind", "host", F.col("n").cast(big).alias("n"), "total", F.expr(f"cast({units} % total as {big})").alias("rest"))
+    share = f"cast(n * cast(({units} - rest) / total as {big}) + floor(n * rest / total) as {big})"
+    start = first.select("kind", "host", F.expr(share).alias("mass")).withColumn("moving", F.col("mass"))
     both = links.select(F.lit("allow").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("next")).unionByName(
         links.select(F.lit("block").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("next"))
     )
     degree = both.groupBy("kind", "host").agg(F.count(F.lit(1)).alias("degree"))
-    hops = stored(both.join(degree, ["kind", "host"]), "url-hops")
-    home = start.select("kind", "host", F.expr(f"mass * {100 - FOLLOW} div 100").alias("mass"))
-    ranks = start
-    for _ in range(rounds):
-        moved = ranks.join(hops, ["kind", "host"]).select("kind", F.col("next").alias("host"), F.expr(f"mass * {FOLLOW} div (100 * degree)").alias("mass"))
-        ranks = moved.unionByName(home).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-    return ranks
-
-
-def distrusted_hosts(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, rounds: int = ROUNDS) -> DataFrame:
+    out = both.join(degree, ["kind", "host"]).select("kind", "host", "next", "degree")
+    # the row of a host to itself (degree 0) keeps what has arrived
+    stay = both.select("kind", "host").union(both.select("kind", F.col("next").alias("host"))).union(seeds.select("kind", "host")).distinct()
+    hops = stored(out.unionByName(stay.select("kind", "host", F.col("host").alias("next"), F.lit(0).cast("long").alias("degree"))), "url-hops")
+    part = f"cast(greatest(ceil(moving * {FOLLOW} / cast(100 * degree as decimal(20,0))), 1) as {big})"
+    ranks, done = stored(start, "url-seeds"), 0
+    while True:
+        for _ in range(BATCH):
+            moved = ranks.join(hops, ["kind", "host"]).where("degree = 0 OR moving > 0").select(
+                "kind", F.col("next").alias("host"),
+                F.expr(f"if(degree = 0, mass, {part})").alias("mass"), F.expr(f"if(degree = 0, cast(0 as {big}), {part})").alias("moving"),
+            )
+            ranks = moved.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("moving").alias("moving"))
+        ranks, done = stored(ranks, "url-ranks"), done + BATCH
+        at = ranks.agg(F.count_if(F.col("moving") > 0).alias("moving"), F.count_if(F.col("mass") == F.col("moving")).alias("new")).first()
+        if at.moving == 0 or (at.new == 0 and (FOLLOW / 100) ** done <= tolerance):
+            return ranks.select("kind", "host", "mass")
+
+
+def distrusted_hosts(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, tolerance: float = TOLERANCE) -> DataFrame:
     """Hosts that receive more distrust than trust: host."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = pages.select(host.alias("host"), rule_of(host, path, rules)[1].alias("kind")).where("kind IS NOT NULL")
     seeds = judged.groupBy("kind", "host").agg(F.count(F.lit(1)).alias("n"))
-    ranks = spread(seeds, host_links(pages), rounds)
+    ranks = spread(seeds, host_links(pages), tolerance)
     mass = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0))
     return ranks.groupBy("host").agg(mass("block").alias("distrust"), mass("allow").alias("trust")).where("distrust > trust").select("host")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, tolerance: float = TOLERANCE) -> DataFrame:
     """Verdict for every page: page_id, host, path, rule, verdict.
 
     The longest fitting rule decides. Pages that no rule fits get the verdict of their
-    host: ``block`` if, after ``rounds`` rounds from the hosts of allowed and of blocked
-    pages, more distrust than trust has reached it, else ``allow`` (ties and hosts that
-    neither reaches, too). Links are absolute or protocol-relative ``href``, ``src`` and
+    host: ``block`` if more distrust than trust reaches it from the hosts of blocked and of
+    allowed pages over any number of links (``spread`` says when it stops), else ``allow``
+    (ties and hosts that neither reaches, too). Links are absolute or protocol-relative ``href``, ``src`` and
     ``action`` values; links within a host do not count. Mass of hosts without links is
     not passed on.
 
@@ -103,7 +125,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, rounds: in
     pages is one counted row; pages join the list of distrusted hosts by broadcast when it
     is short, else by an adaptive (skew-splitting) join.
     """
-    bad = stored(distrusted_hosts(pages, rules, rounds), "url-hosts").withColumn("_bad", F.lit(True))
+    bad = stored(distrusted_hosts(pages, rules, tolerance), "url-hosts").withColumn("_bad", F.lit(True))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     cut = pages.select("page_id", host.alias("host"), path.alias("path"))

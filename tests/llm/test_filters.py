@@ -116,6 +116,44 @@ def test_url_filter_with_links_equals_sql(spark):
     same_rows([tuple(r[c] for c in names) for r in df.collect()], cursor.fetchall())
 
 
+def test_url_verdict_follows_a_chain_of_hosts(spark):
+    """Each host links to the one before it; the first has a blocked page."""
+    rows = [(0, "http://h0.net/es/", "")] + [(k, f"http://h{k}.org/", f'<a href="//h{k - 1}.{"org" if k > 1 else "net"}/">') for k in range(1, 21)]
+    assert {r.page_id: r.verdict for r in urls.judge(pages(spark, rows)).collect()} == {k: "block" for k in range(21)}
+
+
+def test_url_mass_is_left_among_millions_of_seed_pages(spark):
+    """Four hops over hosts of degree 100, with and without five million other blocked pages."""
+    links = [(f"{'x' * hop}{k}", "x" * (hop - 1) + "0") for hop in range(1, 5) for k in range(100)]
+    links = spark.createDataFrame(links, "src string, dst string")
+    for others in ([], [("block", f"other{k}", 1_000_000) for k in range(5)]):
+        seeds = spark.createDataFrame([("block", "0", 1), *others], "kind string, host string, n long")
+        got = {r.host: int(r.mass) for r in urls.spread(seeds, links).collect()}
+        share = 0.15 / (1 + 1_000_000 * len(others))
+        for hop in range(5):
+            for k in range(100 if hop else 1):
+                assert got["x" * hop + str(k)] / urls.UNITS == pytest.approx(share * 0.0085**hop, rel=1e-6)
+
+
+def test_url_mass_is_that_of_the_solved_equations(spark):
+    rng, n = np.random.default_rng(5), 30
+    links = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (70, 2)) if a != b})
+    seeds = [("allow", 1, 3), ("allow", 2, 4), ("block", 3, 5), ("block", 2, 1)]
+    wanted = {}
+    for kind in ("allow", "block"):
+        step, first = np.zeros((n, n)), np.zeros(n)
+        for a, b in links if kind == "allow" else [(b, a) for a, b in links]:
+            step[b, a] = 1
+        step /= np.maximum(step.sum(axis=0), 1)
+        for _, host, count in (x for x in seeds if x[0] == kind):
+            first[host] = count / sum(x[2] for x in seeds if x[0] == kind)
+        wanted |= {(kind, str(k)): m for k, m in enumerate(np.linalg.solve(np.eye(n) - 0.85 * step, 0.15 * first)) if m > 0}
+    edges = spark.createDataFrame([(str(a), str(b)) for a, b in links], "src string, dst string")
+    ranks = urls.spread(spark.createDataFrame([(k, str(h), c) for k, h, c in seeds], "kind string, host string, n long"), edges)
+    got = {(r.kind, r.host): int(r.mass) / urls.UNITS for r in ranks.collect()}
+    assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k], abs=1e-9) for k in wanted)
+
+
 def test_network_gradients():
     rng, net = np.random.default_rng(0), toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
