@@ -260,20 +260,16 @@ def cox_score_test(p):
     return out.select("order_year", *[F.round(c, 6).alias(c) for c in ("score", "information", "chi_square")])
 
 
-# Coarser strata than the study's: days hold few orders at test scale.
-COARSE = models.ModelSpec("sev_coarse", ("NHSER_name", "ethnicity_group2", "dose_vacc"))
-
-
 @query("cox_stratified")
 def cox_stratified(p):
-    fits = models.fit_model(p.known, COARSE, CASES, ["hosp", "dead"])
+    fits = models.fit_model(p.known, models.BY_NAME["sev"], CASES)
     return fits.select("model", "endpoint", "var", "estimate", "se")
 
 
 @query("cox_side_by_side")
 def cox_side_by_side(p):
-    fits = models.fit_model(p.known, models.BY_NAME["sev_ms"], CASES, ["hosp", "hospA"])
-    return models.report_model(fits, ["hosp", "hospA"])
+    fits = models.fit_model(p.known, models.BY_NAME["sev_ms"], CASES)
+    return models.report_model(fits, CASES.endpoints)
 
 
 _VARS = {"all": "'all'", "sex": "sex", "reinf": "CAST(reinfection_flag AS VARCHAR)", "imd_decile": "CAST(imd_decile AS VARCHAR)", "dose_vacc": "dose_vacc"}
@@ -358,8 +354,7 @@ def glm_single_covariate(p):
 
 @query("glm_binomial")
 def glm_binomial(p):
-    terms = [factor("agebf"), within("agebf", "age_ib"), within("vaccinated", "reinfection_flag"), factor("sex"), number("hosp")]
-    out = ascertainment.impute_exposure_by_model(p.derived, ["case_id"], terms)
+    out = ascertainment.impute_exposure_by_model(p.derived, ["case_id"])
     return out.select("case_id", F.round("om_pred", 6).alias("om_pred"), "omicron", "delta")
 
 
@@ -377,8 +372,5 @@ def auc(p):
 @query("bootstrap_hazards")
 def bootstrap_hazards(p):
     """All replicates of the imputed model at once, summarised per term."""
-    cfg = CASES.variant(endpoints=("hosp", "dead"))
-    spec = models.ModelSpec("sev_coarse_imputed", ("NHSER_name", "dose_vacc"), "omicron", status=within("vaccinated", "reinf_rand_var"), by_endpoint=models.IMPUTED_STATUS)
-    strata = ["ageband", "dose_vacc", "omicron"]
-    fits = ascertainment.bootstrap_under_ascertainment(p.derived, cfg, ["case_id"], 5, strata=strata, spec=spec)
-    return ascertainment.bootstrap_report(fits, ["hosp", "dead"])
+    fits = ascertainment.bootstrap_under_ascertainment(p.derived, CASES, ["case_id"])
+    return ascertainment.bootstrap_report(fits, CASES.endpoints)

@@ -5,13 +5,15 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import inference
+from catalog.proxies import CASES, Proxies
 from cohortline.config import StudyConfig
 from cohortline.functions.randomness import uniform
 from cohortline.operators import aggregates, hazard, joins, logistic, resampling
 from cohortline.operators.design import factor, number
-from cohortline.plans import ascertainment, derivation, linkage, reports
+from cohortline.plans import ascertainment, derivation, linkage, models, reports
 from cohortline.sources import storage
-from tests.helpers import by_key, day, rows
+from tests.helpers import SF, by_key, day, rows
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +128,38 @@ def test_score_of_a_cell_with_very_many_ties(spark):
     out = hazard.score_test(df, ["f"], ["s"], "t", "e", "x").first()
     # all at risk die at once, so exposed and unexposed are removed in proportion
     assert abs(out.score) < 1e-3 and abs(out.information - n * 0.25 * 0.75) / n < 1e-5
+
+
+def test_model_queries_run_the_study_s_own_models(spark, monkeypatch):
+    """All endpoints, terms, strata and replicates; the fits themselves are left out."""
+    seen = {}
+
+    def fitted(name):
+        none = spark.createDataFrame([], "model string, endpoint string, var string, estimate double, se double")
+        return lambda df, spec, cfg, endpoints=None: seen.update({name: (spec, tuple(endpoints or cfg.endpoints))}) or none
+
+    def resampled(df, key, n, tag):
+        seen["replicates"] = n
+        return replicate(df, key, n, tag)
+
+    replicate, whole, tables = ascertainment.replicate, CASES.endpoints, Proxies(spark, SF)
+    with monkeypatch.context() as m:
+        m.setattr(inference.models, "fit_model", fitted("stratified"))
+        inference.cox_stratified(tables)
+    with monkeypatch.context() as m:
+        m.setattr(inference.models, "fit_model", fitted("side"))
+        m.setattr(inference.models, "report_model", lambda fits, endpoints: seen.update(reported=tuple(endpoints)))
+        inference.cox_side_by_side(tables)
+    with monkeypatch.context() as m:
+        m.setattr(ascertainment, "fit_binomial", lambda df, outcome, terms, name: seen.update(terms=list(terms)))
+        m.setattr(ascertainment, "predict", lambda model, df, name: df.withColumn(name, F.lit(0.5)))
+        inference.glm_binomial(tables)
+    with monkeypatch.context() as m:
+        m.setattr(ascertainment, "replicate", resampled)
+        m.setattr(ascertainment, "bootstrap_fits", lambda df, spec, cfg, endpoints, **layout: seen.update(boot=(spec, tuple(endpoints))) or df.withColumn("estimate", F.lit(0.0)))
+        m.setattr(ascertainment, "bootstrap_report", lambda fits, endpoints: seen.update(summed=tuple(endpoints)))
+        inference.bootstrap_hazards(tables)
+    assert seen["stratified"] == (models.BY_NAME["sev"], whole) and seen["side"] == (models.BY_NAME["sev_ms"], whole)
+    assert seen["reported"] == seen["summed"] == whole and len(whole) == 4
+    assert seen["boot"] == (models.BY_NAME["sev_vacc_reinf_npR"], whole) and seen["replicates"] == CASES.bootstrap_iterations == 200
+    assert seen["terms"] == ascertainment.EXPOSURE_MODEL
