@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import ascii_lower, keep_ids, same, sized, stored, text_or_empty
+from cohortline.llm.common import ascii_lower, same, sized, stored, text_or_empty
 
 # Words of a window of an item, and of a shingle of a window.
 WINDOW, SHINGLE = 10, 5
@@ -145,8 +145,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents without a benchmark window; all columns stay."""
-    return keep_ids(docs, find_leaks(docs, items).where("NOT contaminated"))
+    """Rows without a benchmark window; all columns stay.
+
+    The digest of a text stands for its doc_id, so rows that share a doc_id or have none
+    get decisions of their own, and equal texts the same one.
+    """
+    digest = lambda text: F.unhex(F.sha2(F.encode(text_or_empty(text), "UTF-8"), 256))
+    found = find_leaks(docs.select(digest("text").alias("doc_id"), "text"), items).where("contaminated").select("doc_id")
+    leaks = sized(stored(found, "leak-texts"))
+    return docs.alias("d").join(leaks.alias("l"), digest("d.text") == F.col("l.doc_id"), "left_anti")
 
 
 SQL = rf"""

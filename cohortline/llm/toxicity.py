@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.llm.bpe import slices
-from cohortline.llm.common import keep_ids, text_or_empty, travels
+from cohortline.llm.common import text_or_empty, travels
 
 # Words of a window, and from one window to the next: windows overlap by half.
 WINDOW, STRIDE = 32, 16
@@ -381,8 +381,24 @@ def score_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that are not predicted toxic; all columns stay."""
-    return keep_ids(docs, score_texts(docs, labels).where("predicted = 0"))
+    """Rows that are not predicted toxic; all columns stay.
+
+    Each row is scored and kept or dropped by its own text, in one pass without a join, so
+    rows that share a doc_id or have none get decisions of their own.
+    """
+    texts, marks = training_sample(docs, labels)
+    if not texts:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(fit(texts, marks))
+
+    def run(batches):
+        scorer = Scorer(model.value)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                clean = scorer.scores([t or "" for t in part.column("text").to_pylist()]) < 0.5
+                yield part.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 travels(__name__)

@@ -154,6 +154,29 @@ def test_url_mass_is_that_of_the_solved_equations(spark):
     assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k], abs=1e-9) for k in wanted)
 
 
+def test_stages_decide_rows_that_share_an_id_or_have_none(spark):
+    hit = BENCHMARK[0][1]
+    rows = [(None, hit), (None, "nothing of interest here"), (None, None), (7, hit), (7, "clean words only"), (8, "clean words only")]
+    left = [(None, None), (None, "nothing of interest here"), (7, "clean words only"), (8, "clean words only")]
+    order = lambda found: sorted(((r.doc_id, r.text) for r in found), key=str)
+    kept = contamination.drop_leaks(odd_docs(spark, rows), items(spark))
+    assert order(kept.collect()) == sorted(left, key=str) and kept.columns == odd_docs(spark).columns
+    # two rows without id are not one text: the item's halves stand in different rows
+    halves = [(None, "the quick brown fox jumps over"), (None, "the lazy dog again and again until night falls")]
+    halves = [(i, t) for i, t in halves if not brute_leaks([(1, t)], BENCHMARK)[0][5]]
+    assert order(contamination.drop_leaks(odd_docs(spark, halves), items(spark)).collect()) == sorted(halves, key=str)
+    # labelled rows with plain words for either side
+    learned = [(k, "vile hateful slur " * 6 if k % 2 else "calm and kind day " * 6) for k in range(100, 300)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in learned], "doc_id long, toxic int")
+    vile, calm = learned[1][1], learned[0][1]
+    same_id = [(None, vile), (None, calm), (7, vile), (7, calm), (None, None)]
+    docs = odd_docs(spark, [*learned, *same_id])
+    kept = toxicity.drop_toxic(docs, labels)
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns and (7, calm) in found and (None, calm) in found
+    assert (7, vile) not in found and (None, vile) not in found
+
+
 def test_network_gradients():
     rng, net = np.random.default_rng(0), toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
