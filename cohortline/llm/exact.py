@@ -21,7 +21,8 @@ def exact_groups(docs: DataFrame, digest_all: bool = False, prefix: int = PREFIX
     combining. Only rows whose (length, prefix hash) class has a second member are hashed in
     full; the digest of other rows is NULL unless ``digest_all`` asks for it. The class
     list is broadcast when it has at most ``broadcast_rows`` rows; a longer one joins narrow
-    rows (hashes only, never texts). A group of any size is one row of counts, and the rows
+    rows (hashes only, never texts), for which every text is hashed in full before the join,
+    whatever ``digest_all`` says; the digests of rows without a second member are then dropped. A group of any size is one row of counts, and the rows
     join it with an adaptive (skew-splitting) join.
 
     NULL text counts as empty; empty texts are equal. Rows that repeat a doc_id count as
