@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortline.llm.common import text_or_empty, travels
+from cohortline.llm.common import kept_by_worker, text_or_empty, travels
 
 # Pieces that a task remembers; beyond that all are forgotten together.
 REMEMBERED = 400_000
@@ -38,11 +38,19 @@ ONE_WORD = re.compile(rf" ?[{LETTERS}]+")
 UNSURE = re.compile("[\x1c-\x1f]")
 
 
-def remember(known: dict[str, bytes], key: str, value: bytes) -> None:
-    if len(key) <= LONG:
-        if len(known) >= REMEMBERED:
-            known.clear()
-        known[key] = value
+class Memory(dict):
+    """Ids of pieces, made when first asked for; bounded in number and in the length of pieces."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.make(piece)
+        if len(piece) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,7 +81,7 @@ class Codec:
         self.spelled = [b""] * (max(names.values()) + 1)
         for token, k in names.items():
             self.spelled[k] = bytes(letter[c] for c in token)
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Memory(self.encode_piece)
 
     def cut(self, word: str) -> list[str]:
         """Fragments of a pre-token between its forced boundaries."""
@@ -99,16 +107,7 @@ class Codec:
         """Ids of a text without the special token, piece by remembered piece."""
         if UNSURE.search(text):
             return self.encode_piece(text)
-        pieces, known = PIECES.findall(text), self.pieces
-        out = [known.get(p) for p in pieces]
-        for k, ids in enumerate(out):
-            if ids is None:
-                piece = pieces[k]
-                if (ids := known.get(piece)) is None:
-                    ids = self.encode_piece(piece)
-                    remember(known, piece, ids)
-                out[k] = ids
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
@@ -119,6 +118,11 @@ class Codec:
         return b"".join([spelled[k] for k in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
+def codec_of(content: str) -> Codec:
+    """The worker's codec for a tokenizer file, with what it remembers."""
+    return kept_by_worker(("codec", content), lambda: Codec(content))
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with few rows and few bytes, so that memory stays bounded."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
@@ -141,7 +145,7 @@ def _mapped(df: DataFrame, path: str, source: str, target: str, kind: str, conve
     arrow = pa.string() if kind == "string" else pa.binary()
 
     def run(batches):
-        codec = Codec(content.value)
+        codec = codec_of(content.value)
         for batch in batches:
             for part in slices(batch, source):
                 values = pa.array([convert(codec, v.as_py()) for v in part.column(source)], arrow)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable, Hashable
 from functools import reduce
 from operator import and_
+from types import ModuleType
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +69,20 @@ def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.alias("d").join(ids.select("doc_id").alias("k"), same("d", "k", "doc_id"), "left_semi")
 
 
+def kept_by_worker(key: Hashable, make: Callable):
+    """The object of ``key`` in this Python process, made when another key or none was asked for last.
+
+    Functions that travel with tasks are unpickled for each task, their globals too; a module
+    of its own outlives that, so an encoder's memory serves all tasks of a worker. One object
+    is kept at a time, which bounds what a worker holds.
+    """
+    home = sys.modules.setdefault("_text_worker", ModuleType("_text_worker")).__dict__
+    if home.get("key") != key:
+        home.clear()
+        home.update(key=key, value=make())
+    return home["value"]
+
+
 def travels(module_name: str) -> None:
     """Send a module's functions with the tasks, so that executors need not have the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module_name])

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortline.llm.bpe import ONE_WORD, PIECES, UNSURE, byte_letters, remember, slices
-from cohortline.llm.common import stored, text_or_empty, travels
+from cohortline.llm.bpe import ONE_WORD, PIECES, UNSURE, Memory, byte_letters, slices
+from cohortline.llm.common import kept_by_worker, stored, text_or_empty, travels
 from cohortline.sources.storage import staging_path
 
 END_ID = 2
@@ -88,7 +88,7 @@ class Pieces:
         self.merge = self.library.model.tokenize
         self.letters = {b: c for c, b in byte_letters().items()}
         self.narrow = self.library.get_vocab_size() <= 1 << 16
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(self.encode_piece)
 
     def encode_piece(self, piece: str) -> bytes:
         if ONE_WORD.fullmatch(piece):
@@ -100,16 +100,7 @@ class Pieces:
         """Ids as little-endian unsigned 32-bit numbers."""
         if UNSURE.search(text):
             return self.encode_piece(text)
-        known, pieces = self.known, PIECES.findall(text)
-        out = [known.get(p) for p in pieces]
-        for k, ids in enumerate(out):
-            if ids is None:
-                piece = pieces[k]
-                if (ids := known.get(piece)) is None:
-                    ids = self.encode_piece(piece)
-                    remember(known, piece, ids)
-                out[k] = ids
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, PIECES.findall(text)))
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, parts: int | None = None) -> DataFrame:
@@ -130,12 +121,14 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
         name, attempt = f"part-{task.partitionId():05d}", f".{task.taskAttemptId()}.tmp"
         store, base = opened(path)
         store.create_dir(base, recursive=True)
-        encoder, offset, before, n = Pieces(content.value), 0, 0, 0
+        encoder = kept_by_worker(("pieces", content.value), lambda: Pieces(content.value))
+        offset = before = n = 0
+        end = np.uint32(end_id).tobytes()
         with store.open_output_stream(f"{base}/{name}.rec{attempt}") as data, store.open_output_stream(f"{base}/{name}.idx{attempt}") as index:
             for batch in batches:
                 for part in slices(batch, "text"):
                     for doc_id, text in zip(part.column("doc_id"), part.column("text"), strict=True):
-                        doc_id, ids = doc_id.as_py(), np.append(np.frombuffer(encoder.encode(text.as_py()), "<u4"), np.uint32(end_id))
+                        doc_id, ids = doc_id.as_py(), np.frombuffer(encoder.encode(text.as_py()) + end, "<u4")
                         record = frame(payload := pack_ids(doc_id, ids, encoder.narrow))
                         data.write(record)
                         index.write(struct.pack(INDEX, offset, len(payload), before))
