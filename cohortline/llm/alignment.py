@@ -18,19 +18,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from cohortline.llm.bpe import Codec, Memory, slices
+from cohortline.llm.bpe import LONG, Codec, slices
 from cohortline.llm.common import kept_by_worker, stored, travels
 
 # Windows that a worker remembers, and links of all of them; beyond either, all are forgotten.
-WINDOWS, LINKS = 200_000, 2_000_000
+WINDOWS, LINKS = 400_000, 4_000_000
+# Fragments whose ids a worker remembers; longer ones are not remembered.
+FRAGMENTS_KEPT = 300_000
 # Linked id pairs whose corpus counts are sent to every task: the commonest, at most so many.
 HEAVY_PAIRS = 500_000
 # Distinct pairs that a counting task holds before it passes them on.
 COUNTED_PAIRS = 1_000_000
 
+# Added to B's ids in a window's key.
+SIDE = 1 << 31
 MARK = "▁"
 # A run of spaces with the word behind it.
-FRAGMENTS = re.compile(" +[^ ]*")
+FRAGMENT = re.compile(" +[^ ]*")
 # Spelled like this only by a model that neither changes characters nor drops spaces.
 PROBE = "ﬁ  ½ "
 
@@ -41,7 +45,7 @@ class PieceEncoder:
     """Ids of a sentencepiece model, and the bytes that each id stands for.
 
     A model without a piece that goes on after a space mark can merge nothing across the start
-    of a run of spaces, so a text's ids are those of its fragments, each encoded once. Any
+    of a run of spaces, so a text's ids are those of its fragments, each encoded once for many texts. Any
     other model encodes whole texts.
     """
 
@@ -54,79 +58,109 @@ class PieceEncoder:
         self.lone = np.uint32(lone).tobytes()
         whole = "".join(self.model.encode(PROBE, out_type=str)) == MARK + PROBE.replace(" ", MARK)
         self.parted = whole and not self.model.is_unknown(lone) and not any(MARK in n.lstrip(MARK) for n in names)
-        self.known = Memory(self.encode_fragment)
+        self.known = {" ": self.lone}
 
-    def encode_whole(self, text: str) -> bytes:
-        return array("I", self.model.encode(text)).tobytes()
-
-    def encode_fragment(self, fragment: str) -> bytes:
+    def encode_all(self, spaced: list[str]) -> list[bytes | None]:
+        """Ids of texts, given with the space that the model adds, as 32-bit numbers; None if they spell another text."""
+        if not self.parted:
+            return [self.checked(t, ids) for t, ids in zip(spaced, self.model.encode([t[1:] for t in spaced], num_threads=1), strict=True)]
+        if len(self.known) > FRAGMENTS_KEPT:
+            self.known = {" ": self.lone}
+        known, parts = self.known, [FRAGMENT.findall(t) for t in spaced]
+        fresh = list(set().union(*parts).difference(known))
         # the model itself puts the first space before a text
-        return self.encode_whole(fragment[1:]) if len(fragment) > 1 else self.lone
+        wrong = set()
+        for fragment, ids in zip(fresh, self.model.encode([f[1:] for f in fresh], num_threads=1), strict=True):
+            known[fragment] = self.checked(fragment, ids)
+            if known[fragment] is None:
+                wrong.add(fragment)
+        out = [b"".join(map(known.__getitem__, f)) if wrong.isdisjoint(f) else None for f in parts]
+        for fragment in fresh:
+            if len(fragment) > LONG or fragment in wrong:
+                del known[fragment]
+        return out
 
-    def encode(self, spaced: str) -> bytes:
-        """Ids of a text, given with the space that the model adds, as 32-bit numbers."""
-        if not self.parted:
-            return self.encode_whole(spaced[1:])
-        return b"".join(map(self.known.__getitem__, FRAGMENTS.findall(spaced)))
+    def checked(self, spaced: str, ids: list[int]) -> bytes | None:
+        spelled = self.spelled
+        return array("I", ids).tobytes() if b"".join([spelled[k] for k in ids]) == spaced.encode() else None
 
 
 class Side:
-    """A tokenizer's ids as seen by the aligner."""
+    """What a tokenizer's ids stand for, and how they are written in groups."""
 
-    def __init__(self, encode, spelled: list[bytes]):
-        self.encode, self.spelled = encode, spelled
+    def __init__(self, spelled: list[bytes], end: str):
+        self.spelled = spelled
         self.length = np.array([len(s) for s in spelled], np.int64)
         self.spaced = np.array([s.startswith(b" ") for s in spelled])
+        self.inner, self.last = (np.array([f"{k}{mark}" for k in range(len(spelled))], object) for mark in (",", end))
 
-    def spells(self, ids: bytes, text: bytes) -> bool:
-        return b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u4").tolist())) == text
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.spelled.__getitem__, ids.tolist()))
 
 
 class Aligner:
     """Aligns documents, remembering the windows it has met."""
 
     def __init__(self, byte_file: str, piece_model: bytes):
-        codec, pieces = Codec(byte_file), PieceEncoder(piece_model)
-        # the special token's string is plain text here
-        self.a, self.b = Side(codec.encode_segment, codec.spelled), Side(pieces.encode, pieces.spelled)
+        self.codec, self.pieces = Codec(byte_file), PieceEncoder(piece_model)
+        self.a, self.b = Side(self.codec.spelled, "|"), Side(self.pieces.spelled, ";")
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[tuple[bytes, bytes], int] = {}
+        self.number: dict[bytes, int] = {}
         self.text: list[str] = []
-        self.n_groups, self.n_links, self.links = array("q"), array("q"), array("Q")
-
-    def learn(self, a: bytes, b: bytes) -> int:
-        """Align a window: groups between common ends, and links of tokens that overlap."""
-        left, right = np.frombuffer(a, "<u4").tolist(), np.frombuffer(b, "<u4").tolist()
-        ends_left, ends_right = (np.cumsum(s.length[w]).tolist() for s, w in ((self.a, left), (self.b, right)))
-        groups, before, i, j, from_i, from_j = [], len(self.links), 0, 0, 0, 0
-        while i < len(left):
-            self.links.append(left[i] << 32 | right[j])
-            step = ends_left[i] - ends_right[j]
-            i, j = i + (step <= 0), j + (step >= 0)
-            if not step:
-                groups.append(",".join(map(str, left[from_i:i])) + "|" + ",".join(map(str, right[from_j:j])))
-                from_i, from_j = i, j
-        self.text.append(";".join(groups))
-        self.n_groups.append(len(groups))
-        self.n_links.append(len(self.links) - before)
-        self.number[a, b] = n = len(self.text) - 1
-        return n
-
-    def encoded(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids of both sides; none unless both spell the text with a space before it."""
-        if not text:
-            return b"", b""
-        spaced = " " + text
-        a, b, raw = self.a.encode(spaced), self.b.encode(spaced), spaced.encode()
-        return (a, b) if self.a.spells(a, raw) and self.b.spells(b, raw) else (b"", b"")
+        self.n_groups, self.n_links, self.links = array("q"), array("q"), array("q")
+        # linked pairs by number: A's id in the upper half of 64 bits
+        self.pair: dict[int, int] = {}
+
+    def learn(self, windows: list[bytes]) -> None:
+        """Align windows: groups between common ends, and links of tokens that overlap.
+
+        The windows lie end to end. Between two neighbouring ends, of whichever side, lies one
+        overlap of one token of A and one of B.
+        """
+        ids = np.frombuffer(b"".join(windows), "<u4")
+        of = np.repeat(np.arange(len(windows)), [len(w) // 4 for w in windows])
+        right = ids >= SIDE
+        a, b, of_a = ids[~right].astype(np.int64), ids[right].astype(np.int64) - SIDE, of[~right]
+        if self.a.bytes_of(a) != self.b.bytes_of(b):
+            raise ValueError("the byte-level tokenizer changed a text")
+        ends_a, ends_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
+        ends = np.union1d(ends_a, ends_b)
+        at_a = np.searchsorted(ends_a, ends)
+        names, code = np.unique(a[at_a] << 32 | b[np.searchsorted(ends_b, ends)], return_inverse=True)
+        pair = self.pair
+        numbers = np.array([pair.setdefault(k, len(pair)) for k in names.tolist()], np.int64)
+        self.links.frombytes(numbers[code].tobytes())
+        self.n_links.frombytes(np.bincount(of_a[at_a], minlength=len(windows)).astype(np.int64).tobytes())
+        last_a, last_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+        self.n_groups.frombytes(np.bincount(of_a[last_a], minlength=len(windows)).astype(np.int64).tobytes())
+        written = np.concatenate([np.where(last, s.last[k], s.inner[k]) for s, k, last in ((self.a, a, last_a), (self.b, b, last_b))])
+        group = np.concatenate([2 * (np.cumsum(last_a) - last_a), 2 * (np.cumsum(last_b) - last_b) + 1])
+        written = written[np.argsort(group, kind="stable")].tolist()
+        cuts = np.cumsum([0, *[len(w) // 4 for w in windows]]).tolist()
+        self.number.update(zip(windows, range(len(self.text), len(self.text) + len(windows)), strict=True))
+        self.text += ["".join(written[lo:hi])[:-1] for lo, hi in zip(cuts, cuts[1:])]
+
+    def encoded(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Ids of both sides; none unless both spell the text with a space before it.
+
+        B is compared with the text here, piece by piece; A has as many bytes, and each window
+        compares them with those of B.
+        """
+        spaced = [" " + t if t else "" for t in texts]
+        out = []
+        for t, b in zip(spaced, self.pieces.encode_all(spaced), strict=True):
+            a = self.codec.encode_segment(t) if b else b""  # the special token's string is plain text here
+            same = b and self.a.length[np.frombuffer(a, "<u4")].sum() == self.b.length[np.frombuffer(b, "<u4")].sum()
+            out.append((a, b) if same else (b"", b""))
+        return out
 
     def align(self, texts: list[str | None]) -> dict[str, list]:
         """Columns of ``ALIGNED`` but the doc_id, for texts laid end to end."""
         if len(self.text) > WINDOWS or len(self.links) > LINKS:
             self.forget()
-        both = [self.encoded(t) for t in texts]
+        both = self.encoded(texts)
         raw_a, raw_b = b"".join([a for a, _ in both]), b"".join([b for _, b in both])
         ids_a, ids_b = np.frombuffer(raw_a, "<u4"), np.frombuffer(raw_b, "<u4")
         n_a, n_b = (np.array([len(pair[k]) // 4 for pair in both], np.int64) for k in (0, 1))
@@ -138,29 +172,38 @@ class Aligner:
         # anchors: both go on with a space-marked token; the end of a document is one too
         follows = self.a.spaced[np.append(ids_a, 0)[shared + 1]] & self.b.spaced[np.append(ids_b, 0)[at_b + 1]]
         anchor = follows | np.isin(shared, last)
-        stop_a, stop_b = (shared[anchor] + 1) * 4, (at_b[anchor] + 1) * 4
+        stop_a, stop_b = shared[anchor] + 1, at_b[anchor] + 1
         start_a, start_b = (np.append(0, s[:-1])[: len(s)] for s in (stop_a, stop_b))
-        number, learn, found = self.number, self.learn, []
-        for a0, a1, b0, b1 in zip(start_a.tolist(), stop_a.tolist(), start_b.tolist(), stop_b.tolist(), strict=True):
-            key = raw_a[a0:a1], raw_b[b0:b1]
-            n = number.get(key)
-            found.append(learn(*key) if n is None else n)
+        # each window's ids in one run: those of A, then those of B, marked as such
+        of_a, of_b = (np.repeat(np.arange(len(stop_a)), stop - start) for stop, start in ((stop_a, start_a), (stop_b, start_b)))
+        both_ids = np.empty(len(ids_a) + len(ids_b), np.uint32)
+        both_ids[np.arange(len(ids_a)) + start_b[of_a]] = ids_a
+        both_ids[np.arange(len(ids_b)) + stop_a[of_b]] = ids_b + np.uint32(SIDE)
+        raw, cuts = both_ids.tobytes(), np.append(0, (stop_a + stop_b) * 4).tolist()
+        number = self.number
+        found = [number.get(raw[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+        fresh = [k for k, n in enumerate(found) if n is None]
+        if fresh:
+            keys = [raw[cuts[k] : cuts[k + 1]] for k in fresh]
+            self.learn(list(dict.fromkeys(keys)))
+            for k, key in zip(fresh, keys, strict=True):
+                found[k] = number[key]
         window = np.array(found, np.int64)
         # windows of document k are bounds[k] to bounds[k + 1]
-        bounds = np.append(0, np.searchsorted(stop_a, (last + 1) * 4, side="right"))
+        bounds = np.append(0, np.searchsorted(stop_a, last + 1, side="right"))
         n_groups, n_links = np.array(self.n_groups, np.int64), np.array(self.n_links, np.int64)
         begin = np.cumsum(n_links) - n_links
         count = n_links[window]
-        flat = np.array(self.links, np.uint64)[np.arange(count.sum()) + np.repeat(begin[window] - (np.cumsum(count) - count), count)]
+        flat = np.array(self.links, np.int64)[np.arange(count.sum()) + np.repeat(begin[window] - (np.cumsum(count) - count), count)]
         total = np.append(0, np.cumsum(count))[bounds]
         groups_to = np.append(0, np.cumsum(n_groups[window]))[bounds]
         text, out = self.text, {"n_a": n_a, "n_b": n_b, "n_groups": np.diff(groups_to), "n_links": np.diff(total)}
         out["groups"] = [";".join([text[w] for w in found[lo:hi]]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         # distinct pairs of each document, with how often it links them
-        names, code = np.unique(flat, return_inverse=True)
-        keys, times = np.unique(np.repeat(np.arange(len(texts)), np.diff(total)) * max(1, len(names)) + code, return_counts=True)
-        cuts = np.searchsorted(keys, np.arange(len(texts) + 1) * max(1, len(names))).tolist()
-        pairs, times = names[keys % max(1, len(names))].tobytes(), times.astype("<u4").tobytes()
+        names = np.array([*self.pair, 0], np.uint64)
+        keys, times = np.unique(np.repeat(np.arange(len(texts)), np.diff(total)) * len(names) + flat, return_counts=True)
+        cuts = np.searchsorted(keys, np.arange(len(texts) + 1) * len(names)).tolist()
+        pairs, times = names[keys % len(names)].tobytes(), times.astype("<u4").tobytes()
         out["pairs"] = [pairs[8 * lo : 8 * hi] for lo, hi in zip(cuts, cuts[1:])]
         out["times"] = [times[4 * lo : 4 * hi] for lo, hi in zip(cuts, cuts[1:])]
         return out
@@ -171,7 +214,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
 
     Per row of ``docs``: doc_id, n_a and n_b (tokens), n_groups (byte ranges between ends that
     both share), n_links (pairs of tokens that overlap), groups (``a1,a2|b1;a3|b2,b3``: ids in
-    order), pairs (binary: distinct linked ids, ascending, A's id in the upper half of 64 bits),
+    order), pairs (binary: distinct linked ids, A's id in the upper half of 64 bits),
     times (binary: how often the document links each, 32 bits). A sees the text with a space
     before it, B adds that itself; special tokens' strings are plain text.
 
