@@ -10,7 +10,7 @@ from cohortline.functions.levels import interaction
 from cohortline.functions.randomness import poisson_thresholds, uniform
 from cohortline.operators import resampling
 from cohortline.operators.design import design_matrix, factor, factor_levels, number, within
-from cohortline.operators.hazard import collapse_patterns, fit_hazards, score_test
+from cohortline.operators.hazard import collapse_patterns, fit_hazards, score_test, side_by_side
 from cohortline.operators.logistic import fit_binomial, predict, roc_auc
 from cohortline.operators.tables import stacked_levels
 from cohortline.plans import ascertainment, fixed, models
@@ -260,14 +260,87 @@ def cox_score_test(p):
     return out.select("order_year", *[F.round(c, 6).alias(c) for c in ("score", "information", "chi_square")])
 
 
-@query("cox_stratified")
+_OM_AGE = """CASE WHEN omicron = 0 AND ageband IS NOT NULL THEN 'Delta' WHEN age >= 0 AND age < 10 THEN '1.[0,10)' ELSE '1.' || ageband END"""
+_DERIVED_TERMS = {
+    "om_dose": "CASE WHEN dose_vacc = 'None' AND lv2s = 8 THEN 'Unvaccinated' ELSE omicron || '.' || dose_vacc || '.' || lv2s END",
+    "om_dose2": "CASE WHEN dose_vacc = 'None' THEN 'Unvaccinated' ELSE omicron || '.' || dose_vacc END",
+    "reinf_var": "CASE WHEN reinfection_flag = 0 THEN 'No past infection' WHEN omicron = 0 THEN 'Past infection:Delta' ELSE 'Past infection:Omicron' END",
+}
+
+
+def _totals_sql(spec: models.ModelSpec) -> str:
+    """What the events of each endpoint sum up to for every term of a model: the fit must expect the same."""
+    band = "ageband3" if spec.fine else "ageband1"
+    age = _OM_AGE.replace(" WHEN age >= 0 AND age < 10 THEN '1.[0,10)'", "") if spec.fine else _OM_AGE
+    source = "known"
+    if spec.definition:
+        om, dlt = spec.definition
+        source = f"(SELECT * REPLACE ({om} AS omicron, {dlt} AS delta) FROM known WHERE {om} = 1 OR {dlt} = 1)"
+    terms = spec.terms()
+    columns = list(dict.fromkeys(c for t in terms for c in t.columns()))
+    made = {"om_age": age, "agebf": f"CAST({band} AS VARCHAR)", "age_ib": f"age - {band}", **_DERIVED_TERMS}
+    known = " AND ".join(f"{c} IS NOT NULL" for c in [*columns, *spec.strata])
+    ok = f"""SELECT * FROM (SELECT *, {', '.join(f'{made[c]} AS {c}' for c in columns if c in made)} FROM {source}
+      WHERE {spec.rows or 'TRUE'}) WHERE {known}"""
+    flags = ", ".join(ENDPOINTS)
+    parts = []
+    for t in terms:
+        if t.factor is None:
+            parts.append(f"SELECT '{t.number}' AS name, '' AS level, '' AS suffix, FALSE AS ref, FALSE AS drops, CAST({t.number} AS DOUBLE) AS x, {flags} FROM ok")
+            continue
+        ref = f"{t.factor} = '{fixed.REFERENCE_LEVELS[t.factor]}'" if t.factor in fixed.REFERENCE_LEVELS else "FALSE"
+        x, suffix = (f"CAST({t.number} AS DOUBLE)", f":{t.number}") if t.number else ("CAST(1 AS DOUBLE)", "")
+        parts.append(f"SELECT '{t.factor}' AS name, CAST({t.factor} AS VARCHAR) AS level, '{suffix}' AS suffix, {ref} AS ref, {t.number is None} AS drops, {x} AS x, {flags} FROM ok")
+    sums = ", ".join(f"sum(x * {e}) AS s_{e}, (SELECT sum({e}) FROM ok) AS n_{e}" for e in ENDPOINTS)
+    rows = " UNION ALL ".join(
+        f"SELECT '{spec.name}' AS model, '{e}' AS endpoint, name || level || suffix AS term, CAST(n_{e} AS DOUBLE) AS n_event, round(s_{e}, 3) AS expected FROM kept WHERE n_{e} > 0" for e in ENDPOINTS
+    )
+    return f"""SELECT * FROM (WITH ok AS ({ok}), kept AS (SELECT name, level, suffix, {sums} FROM ({' UNION ALL '.join(parts)}) GROUP BY name, level, suffix, ref, drops
+    QUALIFY NOT drops OR row_number() OVER (PARTITION BY name, suffix ORDER BY ref DESC, TRY_CAST(level AS DOUBLE) NULLS LAST, level) > 1)
+  {rows})"""
+
+
+def _totals(p, specs):
+    out = models.event_totals(p.known, specs, CASES)
+    return out.withColumn("expected", F.round(F.col("expected"), 3) + 0.0)
+
+
+@query("cox_stratified", _totals_sql(models.BY_NAME["sev"]))
 def cox_stratified(p):
-    fits = models.fit_model(p.known, models.BY_NAME["sev"], CASES)
-    return fits.select("model", "endpoint", "var", "estimate", "se")
+    """Score equations of the main model: each term's sum over the events, as the fit expects it."""
+    return _totals(p, [models.BY_NAME["sev"]])
 
 
-@query("cox_side_by_side")
+@query(
+    "cox_side_by_side",
+    "SELECT term, " + ", ".join(f"max(expected) FILTER (endpoint = '{e}') AS {e}_expected, max(n_event) FILTER (endpoint = '{e}') AS {e}_n_event" for e in ENDPOINTS)
+    + f" FROM ({_totals_sql(models.BY_NAME['sev_ms'])}) GROUP BY term",
+)
 def cox_side_by_side(p):
+    """The day-only model, its endpoints next to each other."""
+    return side_by_side(_totals(p, [models.BY_NAME["sev_ms"]]), ["term"], "endpoint", ENDPOINTS, ["expected", "n_event"])
+
+
+def _catalogue(name: str, specs: list[models.ModelSpec]) -> None:
+    query(name, " UNION ALL ".join(_totals_sql(s) for s in specs))(lambda p: _totals(p, specs))
+
+
+# The models that need no imputed status, fitted together from one table of cells.
+_catalogue("cox_main_models", [models.MODELS[k] for k in (1, 2, 3, 4, 6)])
+_catalogue("cox_sensitivity_models", [models.MODELS[k] for k in (7, 9, 10, 11, 12, 13, 14, 15, 16, 17)])
+_catalogue("cox_subset_models", [models.MODELS[k] for k in (18, 19, 21, 22, 23, 24, 25, 26, 27)])
+
+
+@query("cox_estimates")
+def cox_estimates(p):
+    """Estimates of the main model."""
+    fits = models.fit_model(p.known, models.BY_NAME["sev"], CASES)
+    return fits.select("model", "endpoint", "var", "estimate", "se", "reason")
+
+
+@query("cox_report")
+def cox_report(p):
+    """Hazard ratios of the day-only model, endpoints next to each other."""
     fits = models.fit_model(p.known, models.BY_NAME["sev_ms"], CASES)
     return models.report_model(fits, CASES.endpoints)
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 
 DIRECT_TIES = 20_000
 TAIL_TIES = 2_000
@@ -140,67 +139,53 @@ def totals(stratum, time, event, weight, x, beta) -> tuple[float, np.ndarray, np
     return loglik, score, info
 
 
-def cell_partials(stratum, time, event, weight, x, beta):
-    """Own-cell sums of a part of a stratum: one row per (stratum, time).
+def own_cells(stratum, time, event, weight, x, beta, top) -> list[tuple[int, float, np.ndarray]]:
+    """(stratum, time, sums) of the rows at hand: what each (stratum, time) adds to its risk set.
 
-    Used for strata too large for one task. The parts add up cell by cell before
-    :func:`combine_cells` finishes the stratum. Each part removes its largest linear
-    predictor, which is the first number of its vectors, so that nothing overflows.
+    ``top`` is taken off the linear predictors; it is the same for all parts of a stratum, so
+    the sums of the parts add up.
     """
     order = np.lexsort((-time, stratum))
     stratum, time, event, weight, x = (v[order] for v in (stratum, time, event, weight, x))
     start = np.flatnonzero(np.r_[True, (stratum[1:] != stratum[:-1]) | (time[1:] != time[:-1])])
-    ends = np.r_[start[1:], len(time)]
-    eta = x @ beta
-    new_stratum = np.r_[True, stratum[1:] != stratum[:-1]]
-    shift = np.maximum.reduceat(eta, np.flatnonzero(new_stratum))[np.cumsum(new_stratum) - 1]
-    eta = eta - shift
+    eta = x @ beta - top[order]
     risk = weight * np.exp(eta)
-    rows = []
-    for a, b in zip(start, ends):
-        xi, ri, ei, wi = x[a:b], risk[a:b], event[a:b], weight[a:b]
-        di = ri * ei
-        rows.append(
-            (
-                stratum[a],
-                time[a],
-                np.concatenate(
-                    [
-                        [shift[a], (wi * ei).sum(), (wi * ei * eta[a:b]).sum(), ri.sum(), di.sum()],
-                        (wi * ei) @ xi, ri @ xi, di @ xi,
-                        (xi.T @ (ri[:, None] * xi)).ravel(),
-                        (xi.T @ (di[:, None] * xi)).ravel(),
-                    ]
-                ),
-            )
-        )
-    return rows
-
-
-def combine_cells(time, vectors, p) -> tuple[float, np.ndarray, np.ndarray]:
-    """Finish one stratum from the own-cell parts, brought to one common shift."""
-    shift, vectors = vectors[:, 0] - vectors[:, 0].max(), vectors[:, 1:].copy()
-    vectors[:, 1] += vectors[:, 0] * shift
-    vectors[:, 2:4] *= np.exp(shift)[:, None]
-    vectors[:, 4 + p :] *= np.exp(shift)[:, None]
-    times, where = np.unique(-np.asarray(time), return_inverse=True)
-    cells = np.zeros((len(times), vectors.shape[1]))
-    np.add.at(cells, where, vectors)
-    loglik, score, info = 0.0, np.zeros(p), np.zeros((p, p))
-    s0, s1, s2 = 0.0, np.zeros(p), np.zeros((p, p))
-    for c in cells:
-        d, event_eta, r0, d0 = c[:4]
-        ex, r1, d1 = c[4 : 4 + p], c[4 + p : 4 + 2 * p], c[4 + 2 * p : 4 + 3 * p]
-        r2 = c[4 + 3 * p : 4 + 3 * p + p * p].reshape(p, p)
-        d2 = c[4 + 3 * p + p * p :].reshape(p, p)
-        s0, s1, s2 = s0 + r0, s1 + r1, s2 + r2
-        if round(d) > 0:
-            log_a, h0, h1, g0, g1, g2 = tie_sums(s0, d0, int(round(d)))
-            loglik += event_eta - log_a
-            score += ex - (h0 * s1 - h1 * d1)
-            cross = np.outer(s1, d1)
-            info += h0 * s2 - h1 * d2 - (g0 * np.outer(s1, s1) - g1 * (cross + cross.T) + g2 * np.outer(d1, d1))
-    return loglik, score, info
+    out = []
+    for a, b in zip(start, np.r_[start[1:], len(time)]):
+        xi, ri, di = x[a:b], risk[a:b], risk[a:b] * event[a:b]
+        dead = weight[a:b] * event[a:b]
+        squares = [xi.T @ (v[:, None] * xi) for v in (ri, di)]
+        own = [[dead.sum(), (dead * eta[a:b]).sum(), ri.sum(), di.sum()], dead @ xi, ri @ xi, di @ xi, *[m[np.triu_indices(len(beta))] for m in squares]]
+        out.append((stratum[a], time[a], np.concatenate(own)))
+    return out
+
+
+def _at_risk(cells: np.ndarray, p: int) -> np.ndarray:
+    """The part of cell sums that stays at risk at earlier times: S0, S1 and the triangle of S2."""
+    pairs = p * (p + 1) // 2
+    return np.concatenate([cells[:, 2:3], cells[:, 4 + p : 4 + 2 * p], cells[:, 4 + 3 * p : 4 + 3 * p + pairs]], axis=1)
+
+
+def combine_cells(cells: np.ndarray, later: np.ndarray, p: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood, score and information of successive times, latest first.
+
+    ``cells`` are sums of :func:`own_cells`, ``later`` is what is at risk after them.
+    """
+    pairs, upper = p * (p + 1) // 2, np.triu_indices(p)
+    risk = later + np.cumsum(_at_risk(cells, p), axis=0)
+    at = np.rint(cells[:, 0]) > 0
+    cells, risk = cells[at], risk[at]
+    s0, s1, s2 = risk[:, 0], risk[:, 1 : 1 + p], risk[:, 1 + p :]
+    d1, d2 = cells[:, 4 + 2 * p : 4 + 3 * p], cells[:, 4 + 3 * p + pairs :]
+    log_a, h0, h1, g0, g1, g2 = _tie_sums_per_cell(s0, cells[:, 3], np.rint(cells[:, 0])).T
+    loglik = float(cells[:, 1].sum() - log_a.sum())
+    score = cells[:, 4 : 4 + p].sum(axis=0) - h0 @ s1 + h1 @ d1
+    triangle = h0 @ s2 - h1 @ d2
+    cross = s1.T @ (g1[:, None] * d1)
+    info = np.zeros((p, p))
+    info[upper] = triangle
+    info += np.triu(info, 1).T
+    return loglik, score, info - (s1.T @ (g0[:, None] * s1) - cross - cross.T + d1.T @ (g2[:, None] * d1))
 
 
 def pack(loglik: float, score: np.ndarray, info: np.ndarray) -> np.ndarray:
@@ -215,59 +200,86 @@ def _codes(column) -> tuple[np.ndarray, list]:
     return encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary.to_pylist()
 
 
+def _by_fit(batches, betas: dict[str, np.ndarray], large: bool):
+    """(fit, stratum names, stratum, time, event, weight, x) of each fit of a partition."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    fit_code, fit_names = _codes(table.column("fit").chunks)
+    stratum, stratum_names = _codes(table.column("stratum").chunks)
+    time, event, weight, spread = (table.column(c).to_numpy() for c in ("time", "event", "weight", "large"))
+    x = table.column("x").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+    order = np.argsort(fit_code, kind="stable")
+    order = order[spread[order] == large]
+    starts = np.flatnonzero(np.diff(fit_code[order])) + 1
+    for sel in np.split(order, starts):
+        if len(sel) and fit_names[fit_code[sel[0]]] in betas:
+            yield fit_names[fit_code[sel[0]]], stratum_names, stratum[sel], time[sel], event[sel].astype(float), weight[sel], x[sel]
+
+
+def _vector_batch(names: list[str], columns: list, vectors: list[np.ndarray]) -> pa.RecordBatch:
+    flat = np.concatenate(vectors) if vectors else np.zeros(0)
+    cuts = np.cumsum([0, *[len(v) for v in vectors]]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=[*names, "v"])
+
+
 def partition_sums(betas: dict[str, np.ndarray]):
-    """Arrow batches of one partition (whole buckets) to packed sums per fit.
+    """Arrow batches of one partition to packed sums per fit; strata marked large are left out."""
 
-    Strata marked large arrive in parts and leave as own-cell sums.
-    """
+    def run(batches):
+        for fit, _, *rows in _by_fit(batches, betas, False):
+            yield _vector_batch(["fit"], [pa.array([fit])], [pack(*totals(*rows, betas[fit]))])
+
+    return run
+
+
+def largest_predictors(betas: dict[str, np.ndarray]):
+    """Largest linear predictor of each large stratum in a partition."""
+
+    def run(batches):
+        for fit, names, stratum, _, _, _, x in _by_fit(batches, betas, True):
+            eta = x @ betas[fit]
+            for s in np.unique(stratum):
+                columns = [pa.array([fit]), pa.array([names[s]]), pa.array([float(eta[stratum == s].max())])]
+                yield pa.RecordBatch.from_arrays(columns, names=["fit", "stratum", "top"])
+
+    return run
+
+
+def cell_sums(betas: dict[str, np.ndarray], tops: dict[tuple[str, str], float]):
+    """Own sums of the times of large strata, as far as they lie in a partition."""
 
     def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        own_part = f"partition:{TaskContext.get().partitionId()}"
-        fit_code, fit_names = _codes(table.column("fit").chunks)
-        stratum, stratum_names = _codes(table.column("stratum").chunks)
-        time, event, weight, large = (
-            table.column(c).to_numpy() for c in ("time", "event", "weight", "large")
-        )
-        flat = table.column("x").combine_chunks().flatten().to_numpy()
-        x = flat.reshape(table.num_rows, -1)
-        # rows of one fit next to each other, large strata after the others
-        group = fit_code.astype(np.int64) * 2 + large
-        order = np.argsort(group, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
-        out = []
-        for sel in np.split(order, starts[1:]):
-            fit, is_large = fit_names[fit_code[sel[0]]], bool(large[sel[0]])
-            if fit not in betas:
-                continue
-            args = (stratum[sel], time[sel], event[sel].astype(float), weight[sel], x[sel], betas[fit])
-            if is_large:
-                out += [(fit, "stratum:" + stratum_names[s], t, v) for s, t, v in cell_partials(*args)]
-            else:
-                out.append((fit, own_part, 0.0, pack(*totals(*args))))
-        for i in range(0, len(out), 1000):
-            fits, parts, times, vectors = zip(*out[i : i + 1000])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(fits, pa.string()), pa.array(parts, pa.string()),
-                    pa.array(times, pa.float64()), pa.array([v.tolist() for v in vectors], pa.list_(pa.float64())),
-                ],
-                names=["fit", "part", "time", "v"],
-            )
+        for fit, names, stratum, *rows in _by_fit(batches, betas, True):
+            top = np.array([tops.get((fit, n), 0.0) for n in names])[stratum]
+            cells = own_cells(stratum, *rows, betas[fit], top)
+            for i in range(0, len(cells), 500):
+                s, t, v = zip(*cells[i : i + 500])
+                columns = [pa.array([fit] * len(s)), pa.array([names[k] for k in s]), pa.array(t, pa.float64())]
+                yield _vector_batch(["fit", "stratum", "time"], columns, list(v))
+
+    return run
+
+
+def sums_before(p: int):
+    """For each block of a stratum's times, what is at risk after it."""
+
+    def run(pdf):
+        pdf = pdf.sort_values("block")
+        own = _at_risk(np.vstack(pdf["v"].to_numpy()), p)
+        later = np.cumsum(own, axis=0) - own
+        return pd.DataFrame({"fit": pdf["fit"], "stratum": pdf["stratum"], "block": pdf["block"], "later": list(later)})
 
     return run
 
 
-def finish_parts(p: int):
-    """Pass on the packed sums of a partition, or finish one large stratum from its parts."""
+def finish_block(p: int):
+    """Packed sums of one block of times."""
 
     def run(pdf):
-        fit, part = pdf["fit"].iloc[0], pdf["part"].iloc[0]
-        v = np.vstack(pdf["v"].to_numpy())
-        total = v.sum(axis=0) if part.startswith("partition:") else pack(*combine_cells(pdf["time"].to_numpy(), v, p))
-        return pd.DataFrame([(fit, part, 0.0, total.tolist())], columns=["fit", "part", "time", "v"])
+        pdf = pdf.sort_values("time", ascending=False)
+        total = pack(*combine_cells(np.vstack(pdf["v"].to_numpy()), np.asarray(pdf["later"].iloc[0]), p))
+        return pd.DataFrame([(pdf["fit"].iloc[0], total.tolist())], columns=["fit", "v"])
 
     return run

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,18 @@ from pyspark.sql import functions as F
 from cohortline.config import StudyConfig
 from cohortline.functions.levels import band_labels, collapse, interaction, strip_labels
 from cohortline.operators.design import Term, factor, number, term_columns, within
-from cohortline.operators.hazard import EPS, Patterns, collapse_patterns, fit_hazards, hazard_table, side_by_side
+from cohortline.operators.hazard import (
+    EPS,
+    Patterns,
+    collapse_patterns,
+    fit_hazards,
+    fitted_totals,
+    hazard_table,
+    side_by_side,
+    stacked,
+    unstacked,
+)
+from cohortline.operators.replicates import cells_of, replicate_patterns
 from cohortline.operators.tables import count_table, stacked_levels
 from cohortline.plans import fixed
 from cohortline.plans.derivation import (
@@ -21,6 +33,7 @@ from cohortline.plans.derivation import (
     phase_shifted_date,
     survival_columns,
 )
+from cohortline.sources.storage import cut_lineage
 
 INDEX = "last_specimen_date"
 STATUS = within("vaccinated", "reinfection_flag")
@@ -195,19 +208,72 @@ def fit_model(
     return named.select(F.lit(spec.name).alias("model"), F.lit(age_set).alias("agedesc"), "*")
 
 
+def model_variables(specs: Sequence[ModelSpec], endpoints: Sequence[str]) -> list[str]:
+    """Columns of the cohort that any of the models reads."""
+    own = {"om_age", "agebf", "age_ib", "reinf_var"}  # made by model_frame
+    used = {"age", "ageband", "ageband1", "ageband2", "ageband3", "omicron", "delta", "reinfection_flag", INDEX, *endpoints, *[f"{e}_date" for e in endpoints]}
+    for s in specs:
+        used |= {*s.strata, *(s.definition or ()), *(["num_doses"] if s.rows else []), *[c for t in s.terms() for c in t.columns()]} - own
+    return sorted(used | {"om_age1", "om_age3", "dose_type", "dose_vacc", "lv2s"})
+
+
+def catalogue_patterns(df: DataFrame, specs: Sequence[ModelSpec], cfg: StudyConfig, endpoints: Sequence[str]) -> dict[str, Patterns]:
+    """Patterns of several models, all projected from one table of cells.
+
+    Records equal in every variable that any model reads are one weighted cell, stored once.
+    """
+    cells = cut_lineage(df.groupBy(*model_variables(specs, endpoints)).agg(F.count(F.lit(1)).alias("_records")))
+    return {s.name: model_patterns(cells, s, cfg, endpoints, weight="_records") for s in specs}
+
+
+def fit_catalogue(df: DataFrame, specs: Sequence[ModelSpec], cfg: StudyConfig, endpoints: Sequence[str] | None = None) -> tuple[dict[str, Patterns], DataFrame]:
+    """Fit several models in the same jobs: their patterns, and (model, endpoint, term, estimate, ...)."""
+    patterns = catalogue_patterns(df, specs, cfg, list(endpoints or cfg.endpoints))
+    fits = unstacked(fit_hazards(stacked(patterns), cfg.standard_errors), patterns)
+    return patterns, fits.withColumnRenamed("fit", "endpoint")
+
+
+def event_totals(df: DataFrame, specs: Sequence[ModelSpec], cfg: StudyConfig, endpoints: Sequence[str] | None = None) -> DataFrame:
+    """(model, endpoint, term, n_event, expected): what the fitted models expect of each term among the events.
+
+    A fit is right where these equal the sums that the events have (its score equations).
+    """
+    patterns, fits = fit_catalogue(df, specs, cfg, endpoints)
+    totals = [
+        fitted_totals(p, fits.where(F.col("model") == name).withColumnRenamed("endpoint", "fit")).withColumn("model", F.lit(name))
+        for name, p in patterns.items()
+    ]
+    out = reduce(DataFrame.unionByName, totals).withColumnRenamed("fit", "endpoint")
+    return out.select("model", "endpoint", "term", "n_event", "expected")
+
+
 def report_model(fits: DataFrame, endpoints: Sequence[str]) -> DataFrame:
     """Hazard ratios of all endpoints side by side, numbers and labels."""
     table = hazard_table(fits, fixed.CI_WIDTH)
     return side_by_side(table, ["model", "agedesc", "var"], "endpoint", endpoints, ["mean", "se", "exp_se", "l95", "u95", "label"])
 
 
-def bootstrap_fits(
-    replicates: DataFrame, spec: ModelSpec, cfg: StudyConfig, endpoints: Sequence[str], replicate: str = "replicate", weight: str = "weight", **layout
+def replicate_fits(
+    records: DataFrame, spec: ModelSpec, cfg: StudyConfig, endpoints: Sequence[str], strata: Sequence[str], factors: Mapping, replicates: int,
+    tag: str, band: str = "ageband", status: str = "reinfection_flag",
 ) -> DataFrame:
-    """Coefficients of all replicates and endpoints: (endpoint, replicate, var, estimate)."""
-    fits = fit_hazards(model_patterns(replicates, spec, cfg, endpoints, replicate, weight, **layout), standard_errors=False)
+    """Coefficients of all replicates and endpoints: (endpoint, replicate, var, estimate).
+
+    ``records`` are all whose status is imputed; those outside ``spec.rows`` count there only.
+    """
+    if spec.definition:
+        raise ValueError("the bootstrap keeps the exposure that the status was imputed by")
+    imputed = spec.by_endpoint[0][0] if spec.by_endpoint else "_imputed"
+    frame = model_frame(records, replace(spec, rows=None))
+    columns = {"_fits": F.coalesce(F.expr(spec.rows), F.lit(False)) if spec.rows else F.lit(True)}
+    for e in endpoints:
+        time, event = survival_columns(F.col(e), F.col(f"{e}_date"), F.col(INDEX), follow_up_days(e, cfg), cfg.censor_date)
+        columns |= {f"{e}_time": time, f"{e}_event": event, f"{e}_idc": _stratum(spec, F.col(e))}
+    terms = spec.terms()
+    cells = cells_of(frame.withColumns(columns), terms, imputed, [*strata, band, status], endpoints, "_fits", tag)
+    patterns = replicate_patterns(cells, terms, imputed, strata, endpoints, factors, replicates, band, status, fixed.REFERENCE_LEVELS)
     parts = F.split("fit", r"\|")
-    return clean_labels(fits).select(
+    return clean_labels(fit_hazards(patterns, standard_errors=False)).select(
         parts[0].alias("endpoint"), parts[1].cast("int").alias("replicate"), "var", "estimate"
     )
 

@@ -78,6 +78,43 @@ def test_split_strata_give_the_same_fit(spark, sample):
             assert np.allclose(whole[k][:2], split[k][:2], atol=1e-9)
 
 
+def test_giant_stratum_in_blocks_of_its_times(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 500
+    df = pd.DataFrame({"s": 0, "t": rng.integers(1, 90, n).astype(float), "e": rng.integers(0, 2, n), "a": rng.integers(0, 2, n), "b": rng.normal(size=n).round(1)})
+    whole, _ = _fit(spark, df)
+    monkeypatch.setattr(hazard, "TIMES_PER_BLOCK", 4)
+    split, patterns = _fit(spark, df, max_stratum=20, buckets=7)
+    assert patterns.blocks.agg(F.max("block")).first()[0] > 15  # no task finishes more than a few times
+    for k in whole:
+        assert np.allclose(whole[k][:2], split[k][:2], atol=1e-9)
+    # coefficients as far as bounded steps may go
+    far = {"f": np.array([20.0, -15.0])}
+    a = hazard._evaluate(patterns, far)["f"]
+    b = hazard._evaluate(_fit(spark, df)[1], far)["f"]
+    assert np.isfinite(a[0]) and np.allclose(a[0], b[0]) and np.allclose(a[1], b[1], atol=1e-6)
+
+
+@pytest.mark.filterwarnings("error")
+def test_events_in_one_arm_only_have_no_finite_estimate(spark):
+    df = pd.DataFrame({"s": 0, "t": np.tile([1.0, 2.0, 3.0], 40), "a": np.repeat([0, 1], 60)})
+    df["e"] = df.a * (np.arange(120) % 2)
+    df["b"] = np.arange(120) % 5
+    for eps in (hazard.EPS, 1e-13):
+        frame = spark.createDataFrame(df)
+        patterns = hazard.collapse_patterns(frame, [number("a"), number("b")], F.lit("f"), F.col("s"), F.col("t"), F.col("e"))
+        got = {r.term: r for r in hazard.fit_hazards(patterns, eps=eps).collect()}
+        assert got["a"].estimate is None and got["a"].se is None and got["a"].reason == hazard.MONOTONE
+        assert got["b"].estimate is not None and got["b"].reason is None
+
+
+def test_small_fits_lie_whole_in_a_bucket(spark, sample):
+    many = pd.concat([sample.assign(f=k) for k in range(12)])
+    patterns = hazard.collapse_patterns(spark.createDataFrame(many), [number("a")], F.col("f"), F.col("s"), F.col("t"), F.col("e"), buckets=4)
+    vectors = patterns.table.mapInArrow(risksets.partition_sums({str(k): np.zeros(1) for k in range(12)}), "fit string, v array<double>")
+    assert vectors.count() == 12  # one vector of each fit, whatever the number of buckets
+
+
 def test_frequency_weights_equal_repeated_rows(spark, sample):
     w = (np.arange(len(sample)) % 3).astype(int)
     repeated = sample.loc[sample.index.repeat(w)]

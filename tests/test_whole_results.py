@@ -138,11 +138,11 @@ def test_model_queries_run_the_study_s_own_models(spark, monkeypatch):
         none = spark.createDataFrame([], "model string, endpoint string, var string, estimate double, se double")
         return lambda df, spec, cfg, endpoints=None: seen.update({name: (spec, tuple(endpoints or cfg.endpoints))}) or none
 
-    def resampled(df, key, n, tag):
-        seen["replicates"] = n
-        return replicate(df, key, n, tag)
+    def replicated(records, spec, cfg, endpoints, strata, factors, replicates, tag):
+        seen.update(boot=(spec, tuple(endpoints)), replicates=replicates, strata=strata, bands={len(v) for v in factors.values()})
+        return spark.createDataFrame([], "endpoint string, replicate int, var string, estimate double")
 
-    replicate, whole, tables = ascertainment.replicate, CASES.endpoints, Proxies(spark, SF)
+    whole, tables = CASES.endpoints, Proxies(spark, SF)
     with monkeypatch.context() as m:
         m.setattr(inference.models, "fit_model", fitted("stratified"))
         inference.cox_stratified(tables)
@@ -155,11 +155,11 @@ def test_model_queries_run_the_study_s_own_models(spark, monkeypatch):
         m.setattr(ascertainment, "predict", lambda model, df, name: df.withColumn(name, F.lit(0.5)))
         inference.glm_binomial(tables)
     with monkeypatch.context() as m:
-        m.setattr(ascertainment, "replicate", resampled)
-        m.setattr(ascertainment, "bootstrap_fits", lambda df, spec, cfg, endpoints, **layout: seen.update(boot=(spec, tuple(endpoints))) or df.withColumn("estimate", F.lit(0.0)))
+        m.setattr(ascertainment, "replicate_fits", replicated)
         m.setattr(ascertainment, "bootstrap_report", lambda fits, endpoints: seen.update(summed=tuple(endpoints)))
         inference.bootstrap_hazards(tables)
     assert seen["stratified"] == (models.BY_NAME["sev"], whole) and seen["side"] == (models.BY_NAME["sev_ms"], whole)
     assert seen["reported"] == seen["summed"] == whole and len(whole) == 4
     assert seen["boot"] == (models.BY_NAME["sev_vacc_reinf_npR"], whole) and seen["replicates"] == CASES.bootstrap_iterations == 200
+    assert seen["strata"] == ascertainment.STRATA and seen["bands"] == {200}
     assert seen["terms"] == ascertainment.EXPOSURE_MODEL
