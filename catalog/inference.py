@@ -11,7 +11,7 @@ from cohortline.functions.randomness import poisson_thresholds, uniform
 from cohortline.operators import resampling
 from cohortline.operators.design import design_matrix, factor, factor_levels, number, within
 from cohortline.operators.hazard import collapse_patterns, fit_hazards, score_test, side_by_side
-from cohortline.operators.logistic import fit_binomial, predict, roc_auc
+from cohortline.operators.logistic import fit_binomial, predict, roc_auc, term_totals
 from cohortline.operators.tables import stacked_levels
 from cohortline.plans import ascertainment, fixed, models
 
@@ -425,10 +425,35 @@ def glm_single_covariate(p):
     return scored.groupBy("age").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prediction"), 5).alias("p"))
 
 
-@query("glm_binomial")
+def _term_totals_sql(terms: list, value: str) -> str:
+    made = {"agebf": "CAST(ageband1 AS VARCHAR)", "age_ib": "age - ageband1", "imd_decile_f": "CAST(imd_decile AS VARCHAR)", "Tgf": "CAST(Tg AS VARCHAR)"}
+    columns = list(dict.fromkeys(c for t in terms for c in t.columns()))
+    ok = f"""SELECT * FROM (SELECT *, {', '.join(f'{made[c]} AS {c}' for c in columns if c in made)} FROM known)
+      WHERE {' AND '.join(f'{c} IS NOT NULL' for c in columns)}"""
+    parts = [f"SELECT 'all' AS term, 1.0 AS x, {value} AS y FROM ok"]
+    for t in terms:
+        label = f"'{t.factor}' || {t.factor}" + (f" || ':{t.number}'" if t.number else "") if t.factor else f"'{t.number}'"
+        parts.append(f"SELECT {label}, CAST({t.number or 1} AS DOUBLE), {value} FROM ok")
+    return f"WITH ok AS ({ok}) SELECT term, count(*) AS n, round(sum(x * y), 2) AS total FROM ({' UNION ALL '.join(parts)}) GROUP BY term"
+
+
+def _rounded_totals(scored, terms, value):
+    return term_totals(scored, terms, value).withColumn("total", F.round("total", 2) + 0.0)
+
+
+@query("glm_binomial", _term_totals_sql(ascertainment.EXPOSURE_MODEL, "omicron"))
 def glm_binomial(p):
-    out = ascertainment.impute_exposure_by_model(p.derived, ["case_id"])
-    return out.select("case_id", F.round("om_pred", 6).alias("om_pred"), "omicron", "delta")
+    """Score equations of the exposure model: predicted sums of each term among the known."""
+    out = ascertainment.impute_exposure_by_model(p.derived, ["case_id"]).select("case_id", "om_pred")
+    known = ascertainment.model_columns(p.known).join(out, "case_id")
+    return _rounded_totals(known, ascertainment.EXPOSURE_MODEL, "om_pred")
+
+
+@query("impute_status_by_model", _term_totals_sql(ascertainment.STATUS_MODEL, "reinfection_flag"))
+def impute_status_by_model(p):
+    """Score equations of the status model: predicted sums of each term."""
+    out = ascertainment.impute_status_by_model(p.known, ["case_id"])
+    return _rounded_totals(out, ascertainment.STATUS_MODEL, "reinf_fit")
 
 
 @query(

@@ -56,19 +56,23 @@ REDUNDANT, MONOTONE = "no information", "monotone likelihood"
 class Patterns:
     """Collapsed records of one or more fits, bucketed by fit or by stratum.
 
-    ``reach`` is the largest absolute value of each column; ``blocks`` numbers the times of
-    strata that are spread over all buckets (fit, stratum, time, block; latest times first).
+    ``reach`` is the largest absolute value of each column (of each model's columns, where
+    several are stacked); ``blocks`` numbers the times of strata that are spread over all buckets
+    (fit, stratum, time, block; latest times first).
     """
 
     table: DataFrame
     terms: tuple[str, ...]
-    reach: tuple[float, ...]
+    reach: tuple[float, ...] | dict[str, tuple[float, ...]]
     blocks: DataFrame | None = None
 
     @property
     def split_strata(self) -> bool:
         return self.blocks is not None
 
+    def reach_of(self, fit: str) -> tuple[float, ...]:
+        return self.reach[fit.split("|", 1)[0]] if isinstance(self.reach, dict) else self.reach
+
     def counts(self) -> DataFrame:
         """Records and events of each fit, in strata with events: (fit, n, d)."""
         weight = F.col("weight")
@@ -270,23 +274,26 @@ def fit_hazards(patterns, standard_errors: bool = True, eps: float = EPS, max_st
     and p × p matrices only. ``n`` and ``n_event`` count the records of strata with events.
     """
     spark, p = patterns.table.sparkSession, len(patterns.terms)
-    reach = np.array(patterns.reach, float)
     counts = {r["fit"]: (r["n"], r["d"]) for r in patterns.counts().collect()}
 
+    def widths(fits: list[str]) -> np.ndarray:
+        return np.array([patterns.reach_of(f) for f in fits], float).reshape(-1, p)
+
     def evaluate(betas: dict) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Log likelihoods, scores and informations, in units of each column's reach."""
         found = _evaluate(patterns, betas)
         at = [f for f in betas if f in found]
         ll, u, h = (np.array([found[f][j] for f in at], float) for j in range(3))
-        return at, ll, u.reshape(-1, p) / reach, h.reshape(-1, p, p) / np.outer(reach, reach)
+        reach = widths(at)
+        return at, ll, u.reshape(-1, p) / reach, h.reshape(-1, p, p) / (reach[:, :, None] * reach[:, None, :])
 
     names, loglik, score, info = evaluate({f: np.zeros(p) for f in counts})
-    n = len(names)
+    n, reach, informed = len(names), widths(names), estimable(info)
     null, beta, damping = loglik.copy(), np.zeros((n, p)), np.zeros(n)
     steps, converged = np.zeros(n, int), np.zeros(n, bool)
     step = _bounded_step(info, score, damping)
     while (active := np.flatnonzero(~converged & (steps < max_steps))).size:
-        _, ll, u, h = evaluate({names[k]: (beta[k] + step[k]) / reach for k in active})
+        _, ll, u, h = evaluate({names[k]: (beta[k] + step[k]) / reach[k] for k in active})
         steps[active] += 1
         with np.errstate(divide="ignore", invalid="ignore"):
             change = np.minimum(np.abs(1 - loglik[active] / ll), np.abs(ll - loglik[active]))
@@ -310,7 +317,8 @@ def fit_hazards(patterns, standard_errors: bool = True, eps: float = EPS, max_st
     for k, fit in enumerate(names):
         for j, term in enumerate(patterns.terms):
             given = bool(known[k, j])
-            reason = None if given else MONOTONE if keep[k, j] else REDUNDANT
+            # a column may lose what information it had as its coefficient grows
+            reason = None if given else MONOTONE if informed[k, j] else REDUNDANT
             rows.append(
                 (
                     fit, term, float(beta[k, j]) if given else None, float(se[k, j]) if given and se is not None else None,
@@ -414,7 +422,7 @@ def stacked(models: Mapping[str, Patterns]) -> Patterns:
         for name, m in models.items()
     ]
     blocks = [m.blocks.withColumn("fit", F.concat(F.lit(f"{name}|"), "fit")) for name, m in models.items() if m.blocks is not None]
-    reach = tuple(max((m.reach[k] for m in models.values() if k < len(m.reach)), default=1.0) for k in range(p))
+    reach = {name: (*m.reach, *[1.0] * (p - len(m.terms))) for name, m in models.items()}
     return Patterns(
         reduce(DataFrame.unionByName, tables), tuple(str(k) for k in range(p)), reach, reduce(DataFrame.unionByName, blocks) if blocks else None
     )

@@ -69,6 +69,21 @@ def predict(model: PipelineModel, df: DataFrame, prediction: str = "prediction")
     return join_counted(df, scored, columns, "_records").select(*df.columns, prediction)
 
 
+def term_totals(df: DataFrame, terms: Sequence[Term], value: str) -> DataFrame:
+    """(term, n, total): records and sum of term × ``value``, for every level of every term and the whole table.
+
+    For a fitted model the totals of the predictions equal those of the outcome (its score
+    equations). Records with an unknown variable, which no fit uses, are left out.
+    """
+    entries = [F.struct(F.lit("all").alias("term"), F.lit(1.0).alias("x"))]
+    for t in terms:
+        level = F.col(t.factor).cast("string") if t.factor else F.lit("")
+        label = F.concat(F.lit(t.factor or ""), level, F.lit(f":{t.number}" if t.factor and t.number else t.number or ""))
+        entries.append(F.struct(label.alias("term"), (F.col(t.number).cast("double") if t.number else F.lit(1.0)).alias("x")))
+    rows = df.dropna(subset=[*term_columns(terms), value]).select(value, F.inline(F.array(*entries)))
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * F.col(value)).alias("total"))
+
+
 def roc_auc(scored: DataFrame, outcome: str, score: str) -> DataFrame:
     """Area under the ROC curve; equal scores count half. Records collapse by score first."""
     weighted = (

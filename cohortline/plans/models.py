@@ -226,11 +226,11 @@ def catalogue_patterns(df: DataFrame, specs: Sequence[ModelSpec], cfg: StudyConf
     return {s.name: model_patterns(cells, s, cfg, endpoints, weight="_records") for s in specs}
 
 
-def fit_catalogue(df: DataFrame, specs: Sequence[ModelSpec], cfg: StudyConfig, endpoints: Sequence[str] | None = None) -> tuple[dict[str, Patterns], DataFrame]:
-    """Fit several models in the same jobs: their patterns, and (model, endpoint, term, estimate, ...)."""
+def fit_catalogue(df: DataFrame, specs: Sequence[ModelSpec], cfg: StudyConfig, endpoints: Sequence[str] | None = None) -> DataFrame:
+    """Fit several models in the same jobs: (model, endpoint, term, estimate, ...)."""
     patterns = catalogue_patterns(df, specs, cfg, list(endpoints or cfg.endpoints))
     fits = unstacked(fit_hazards(stacked(patterns), cfg.standard_errors), patterns)
-    return patterns, fits.withColumnRenamed("fit", "endpoint")
+    return fits.withColumnRenamed("fit", "endpoint")
 
 
 def event_totals(df: DataFrame, specs: Sequence[ModelSpec], cfg: StudyConfig, endpoints: Sequence[str] | None = None) -> DataFrame:
@@ -238,13 +238,10 @@ def event_totals(df: DataFrame, specs: Sequence[ModelSpec], cfg: StudyConfig, en
 
     A fit is right where these equal the sums that the events have (its score equations).
     """
-    patterns, fits = fit_catalogue(df, specs, cfg, endpoints)
-    totals = [
-        fitted_totals(p, fits.where(F.col("model") == name).withColumnRenamed("endpoint", "fit")).withColumn("model", F.lit(name))
-        for name, p in patterns.items()
-    ]
-    out = reduce(DataFrame.unionByName, totals).withColumnRenamed("fit", "endpoint")
-    return out.select("model", "endpoint", "term", "n_event", "expected")
+    patterns = catalogue_patterns(df, specs, cfg, list(endpoints or cfg.endpoints))
+    every = stacked(patterns)
+    totals = unstacked(fitted_totals(every, fit_hazards(every, standard_errors=False)), patterns)
+    return totals.withColumnRenamed("fit", "endpoint").select("model", "endpoint", "term", "n_event", "expected")
 
 
 def report_model(fits: DataFrame, endpoints: Sequence[str]) -> DataFrame:

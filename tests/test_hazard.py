@@ -95,7 +95,7 @@ def test_giant_stratum_in_blocks_of_its_times(spark, monkeypatch):
     assert np.isfinite(a[0]) and np.allclose(a[0], b[0]) and np.allclose(a[1], b[1], atol=1e-6)
 
 
-@pytest.mark.filterwarnings("error")
+@pytest.mark.filterwarnings("error::RuntimeWarning")
 def test_events_in_one_arm_only_have_no_finite_estimate(spark):
     df = pd.DataFrame({"s": 0, "t": np.tile([1.0, 2.0, 3.0], 40), "a": np.repeat([0, 1], 60)})
     df["e"] = df.a * (np.arange(120) % 2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog import inference
 from catalog.proxies import CASES, Proxies
+from catalog.registry import QUERIES
 from cohortline.config import StudyConfig
 from cohortline.functions.randomness import uniform
 from cohortline.operators import aggregates, hazard, joins, logistic, resampling
@@ -134,9 +135,10 @@ def test_model_queries_run_the_study_s_own_models(spark, monkeypatch):
     """All endpoints, terms, strata and replicates; the fits themselves are left out."""
     seen = {}
 
-    def fitted(name):
-        none = spark.createDataFrame([], "model string, endpoint string, var string, estimate double, se double")
-        return lambda df, spec, cfg, endpoints=None: seen.update({name: (spec, tuple(endpoints or cfg.endpoints))}) or none
+    def checked(df, specs, cfg, endpoints=None):
+        seen.setdefault("specs", []).append(specs)
+        seen["endpoints"] = tuple(endpoints or cfg.endpoints)
+        return spark.createDataFrame([], "model string, endpoint string, term string, n_event double, expected double")
 
     def replicated(records, spec, cfg, endpoints, strata, factors, replicates, tag):
         seen.update(boot=(spec, tuple(endpoints)), replicates=replicates, strata=strata, bands={len(v) for v in factors.values()})
@@ -144,12 +146,11 @@ def test_model_queries_run_the_study_s_own_models(spark, monkeypatch):
 
     whole, tables = CASES.endpoints, Proxies(spark, SF)
     with monkeypatch.context() as m:
-        m.setattr(inference.models, "fit_model", fitted("stratified"))
+        m.setattr(inference.models, "event_totals", checked)
         inference.cox_stratified(tables)
-    with monkeypatch.context() as m:
-        m.setattr(inference.models, "fit_model", fitted("side"))
-        m.setattr(inference.models, "report_model", lambda fits, endpoints: seen.update(reported=tuple(endpoints)))
         inference.cox_side_by_side(tables)
+        for name in ("cox_main_models", "cox_sensitivity_models", "cox_subset_models"):
+            QUERIES[name](spark, SF)
     with monkeypatch.context() as m:
         m.setattr(ascertainment, "fit_binomial", lambda df, outcome, terms, name: seen.update(terms=list(terms)))
         m.setattr(ascertainment, "predict", lambda model, df, name: df.withColumn(name, F.lit(0.5)))
@@ -158,8 +159,10 @@ def test_model_queries_run_the_study_s_own_models(spark, monkeypatch):
         m.setattr(ascertainment, "replicate_fits", replicated)
         m.setattr(ascertainment, "bootstrap_report", lambda fits, endpoints: seen.update(summed=tuple(endpoints)))
         inference.bootstrap_hazards(tables)
-    assert seen["stratified"] == (models.BY_NAME["sev"], whole) and seen["side"] == (models.BY_NAME["sev_ms"], whole)
-    assert seen["reported"] == seen["summed"] == whole and len(whole) == 4
+    named = [s.name for specs in seen["specs"] for s in specs]
+    # every model but those of the imputed status: 20 is the bootstrap's, 28 and 29 follow an imputation
+    assert sorted(named) == sorted(m.name for k, m in models.MODELS.items() if k not in (20, 28, 29))
+    assert seen["endpoints"] == seen["summed"] == whole and len(whole) == 4
     assert seen["boot"] == (models.BY_NAME["sev_vacc_reinf_npR"], whole) and seen["replicates"] == CASES.bootstrap_iterations == 200
     assert seen["strata"] == ascertainment.STRATA and seen["bands"] == {200}
     assert seen["terms"] == ascertainment.EXPOSURE_MODEL
