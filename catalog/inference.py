@@ -434,11 +434,12 @@ def _term_totals_sql(terms: list, value: str) -> str:
     for t in terms:
         label = f"'{t.factor}' || {t.factor}" + (f" || ':{t.number}'" if t.number else "") if t.factor else f"'{t.number}'"
         parts.append(f"SELECT {label}, CAST({t.number or 1} AS DOUBLE), {value} FROM ok")
-    return f"WITH ok AS ({ok}) SELECT term, count(*) AS n, round(sum(x * y), 2) AS total FROM ({' UNION ALL '.join(parts)}) GROUP BY term"
+    return f"WITH ok AS ({ok}) SELECT term, count(*) AS n, round(sum(x * y), 0) AS total FROM ({' UNION ALL '.join(parts)}) GROUP BY term"
 
 
 def _rounded_totals(scored, terms, value):
-    return term_totals(scored, terms, value).withColumn("total", F.round("total", 2) + 0.0)
+    # to whole numbers: these fits end after 25 steps, where days of one outcome still leave some hundredths
+    return term_totals(scored, terms, value).withColumn("total", F.round("total", 0) + 0.0)
 
 
 @query("glm_binomial", _term_totals_sql(ascertainment.EXPOSURE_MODEL, "omicron"))

@@ -236,3 +236,25 @@ def test_factor_model_equals_row_level_newton(spark):
 
 def test_bucket_count_grows_with_the_patterns():
     assert [hazard.bucket_count(n, 8) for n in (0, 100, 5_000, 100_000, 10**9)] == [1, 1, 3, 8, 20_000]
+
+
+def test_a_fit_expects_what_its_events_sum_up_to(spark, sample):
+    _, patterns = _fit(spark, sample)
+    fits = hazard.fit_hazards(patterns, eps=1e-13)
+    got = {r.term: r for r in hazard.fitted_totals(patterns, fits).collect()}
+    dead = sample[sample.e == 1]
+    assert got["a"].n_event == len(dead) and np.isclose(got["a"].expected, dead.a.sum()) and np.isclose(got["b"].expected, dead.b.sum())
+    # another coefficient gives other totals
+    moved = {r.term: r.expected for r in hazard.fitted_totals(patterns, fits.withColumn("beta", F.col("beta") + 0.5)).collect()}
+    assert abs(moved["a"] - dead.a.sum()) > 1
+
+
+def test_stacked_models_are_fitted_as_alone(spark, sample):
+    df = spark.createDataFrame(sample)
+    parts = (F.lit("f"), F.col("s"), F.col("t"), F.col("e"))
+    models_ = {"one": hazard.collapse_patterns(df, [number("b")], *parts), "two": hazard.collapse_patterns(df, [number("a"), number("b")], *parts)}
+    got = {(r.model, r.fit, r.term): r.estimate for r in hazard.unstacked(hazard.fit_hazards(hazard.stacked(models_), eps=1e-13), models_).collect()}
+    assert set(got) == {("one", "f", "b"), ("two", "f", "a"), ("two", "f", "b")}
+    for name, patterns in models_.items():
+        for r in hazard.fit_hazards(patterns, eps=1e-13).collect():
+            assert np.isclose(got[name, "f", r.term], r.estimate, atol=1e-9)

@@ -133,3 +133,18 @@ def test_binomial_fit_equals_newton_on_rows(spark):
     sdf = spark.createDataFrame(df)
     out = logistic.predict(logistic.fit_binomial(sdf, "y", [factor("g"), within("g", "z"), number("h")]), sdf)
     assert max(abs(r.p - r.prediction) for r in out.collect()) < 1e-6
+
+
+def test_term_totals_of_a_fit_equal_those_of_the_outcome(spark):
+    from cohortline.operators.design import factor, number, within
+    from cohortline.operators.logistic import fit_binomial, predict, term_totals
+
+    rows_ = [(k % 2 if k % 5 else 1 - k % 2, "abc"[k % 3], "uv"[k % 7 % 2], float(k % 11)) for k in range(400)] + [(None, "a", "u", 1.0), (1, None, "v", 2.0)]
+    df = spark.createDataFrame(rows_, "y int, f string, g string, x double")
+    terms = [factor("f"), number("x"), within("g", "x")]
+    known = df.where("y IS NOT NULL")
+    want = {r.term: (r.n, r.total) for r in term_totals(known, terms, "y").collect()}
+    got = {r.term: (r.n, r.total) for r in term_totals(predict(fit_binomial(df, "y", terms), known), terms, "prediction").collect()}
+    assert set(got) == {"all", "fa", "fb", "fc", "x", "gu:x", "gv:x"} and want["all"][0] == 400
+    for term, (n, total) in want.items():
+        assert got[term][0] == n and abs(got[term][1] - total) < 1e-3
