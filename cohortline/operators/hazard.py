@@ -211,7 +211,10 @@ def _evaluate(patterns, betas: dict[str, np.ndarray]) -> dict[str, tuple]:
     sums = patterns.sums(betas).toArrow().combine_chunks()
     codes, names = pd.factorize(sums.column("fit").to_numpy(zero_copy_only=False))
     packed = np.zeros((len(names), size))
-    packed[codes, sums.column("pos").to_numpy()] = sums.column("v").to_numpy()
+    if "pos" in sums.column_names:
+        packed[codes, sums.column("pos").to_numpy()] = sums.column("v").to_numpy()
+    elif len(names):  # one whole vector of each fit
+        packed[codes] = sums.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size)
     info = np.zeros((len(names), p, p))
     info[:, *np.triu_indices(p)] = packed[:, 1 + p :]
     info += np.triu(info, 1).transpose(0, 2, 1)
@@ -241,25 +244,25 @@ def _kept_only(info: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return np.where(both, info, np.eye(info.shape[-1]))
 
 
-def _solve(info: np.ndarray, score: np.ndarray, damping: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _solve(info: np.ndarray, score: np.ndarray, damping: np.ndarray | None = None, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Newton steps of a stack of fits, and the columns that move; ``damping`` is added to the diagonal."""
-    keep = estimable(info)
+    keep = estimable(info) if keep is None else keep
     system = _kept_only(info, keep)
     if damping is not None:
         system = system + damping[:, None, None] * np.eye(info.shape[-1])
     return np.linalg.solve(system, np.where(keep, score, 0.0)[:, :, None])[:, :, 0], keep
 
 
-def _bounded_step(info: np.ndarray, score: np.ndarray, damping: np.ndarray) -> np.ndarray:
+def _bounded_step(info: np.ndarray, score: np.ndarray, damping: np.ndarray, keep: np.ndarray) -> np.ndarray:
     """Newton steps, damped (``damping`` grows in place) until none moves a linear predictor too far.
 
     Damping holds back the directions that the data say little about, and hardly the others.
     """
-    step = _solve(info, score, damping)[0]
+    step = _solve(info, score, damping, keep)[0]
     top = np.diagonal(info, axis1=1, axis2=2).max(axis=1, initial=0.0)
     while (far := np.flatnonzero(np.abs(step).max(axis=1, initial=0.0) > LARGEST_MOVE)).size:
         damping[far] = np.maximum(10 * damping[far], LEAST_DAMPING * top[far])
-        step[far] = _solve(info[far], score[far], damping[far])[0]
+        step[far] = _solve(info[far], score[far], damping[far], keep[far])[0]
     return step
 
 
@@ -277,21 +280,22 @@ def fit_hazards(patterns, standard_errors: bool = True, eps: float = EPS, max_st
     counts = {r["fit"]: (r["n"], r["d"]) for r in patterns.counts().collect()}
 
     def widths(fits: list[str]) -> np.ndarray:
-        return np.array([patterns.reach_of(f) for f in fits], float).reshape(-1, p)
+        return np.array([patterns.reach_of(f) for f in fits], float).reshape(len(fits), p)
 
     def evaluate(betas: dict) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Log likelihoods, scores and informations, in units of each column's reach."""
         found = _evaluate(patterns, betas)
-        at = [f for f in betas if f in found]
-        ll, u, h = (np.array([found[f][j] for f in at], float) for j in range(3))
+        at, none = list(betas), (0.0, np.zeros(p), np.zeros((p, p)))  # a fit without any risk set to compare
+        ll, u, h = (np.array([found.get(f, none)[j] for f in at], float) for j in range(3))
         reach = widths(at)
-        return at, ll, u.reshape(-1, p) / reach, h.reshape(-1, p, p) / (reach[:, :, None] * reach[:, None, :])
+        return at, ll, u.reshape(len(at), p) / reach, h.reshape(len(at), p, p) / (reach[:, :, None] * reach[:, None, :])
 
     names, loglik, score, info = evaluate({f: np.zeros(p) for f in counts})
     n, reach, informed = len(names), widths(names), estimable(info)
     null, beta, damping = loglik.copy(), np.zeros((n, p)), np.zeros(n)
     steps, converged = np.zeros(n, int), np.zeros(n, bool)
-    step = _bounded_step(info, score, damping)
+    keep = informed.copy()
+    step = _bounded_step(info, score, damping, keep)
     while (active := np.flatnonzero(~converged & (steps < max_steps))).size:
         _, ll, u, h = evaluate({names[k]: (beta[k] + step[k]) / reach[k] for k in active})
         steps[active] += 1
@@ -300,14 +304,16 @@ def fit_hazards(patterns, standard_errors: bool = True, eps: float = EPS, max_st
         worse = ~np.isfinite(ll) | ((ll < loglik[active]) & (change > eps))
         good, bad = active[~worse], active[worse]
         # damped steps may gain little far from the top, so the gain that a full step promises counts too
-        promised = np.einsum("kp,kp->k", u[~worse], _solve(h[~worse], u[~worse])[0])
+        full, keep[good] = _solve(h[~worse], u[~worse])
+        promised = np.einsum("kp,kp->k", u[~worse], full)
         converged[good] = (ll[~worse] == loglik[good]) | ((change[~worse] <= eps) & (promised <= SETTLED))
         beta[good], loglik[good], score[good], info[good] = beta[good] + step[good], ll[~worse], u[~worse], h[~worse]
         damping[good] = np.where(damping[good] > 1e-9, damping[good] / 30, 0.0)
         damping[bad] = np.maximum(10 * damping[bad], LEAST_DAMPING * np.diagonal(info[bad], axis1=1, axis2=2).max(axis=1, initial=0.0))
-        held = damping[active]
-        step[active] = _bounded_step(info[active], score[active], held)
-        damping[active] = held
+        left = active[~converged[active]]
+        held = damping[left]
+        step[left] = _bounded_step(info[left], score[left], held, keep[left])
+        damping[left] = held
     rows = []
     pending, keep = _solve(info, score)
     known = keep & (np.abs(pending) <= STILL_MOVING)
