@@ -64,9 +64,24 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (NULL matches NULL)."""
-    return docs.alias("d").join(ids.select("doc_id").alias("k"), same("d", "k", "doc_id"), "left_semi")
+def numbered(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """The stored rows with a number each, and the name of that new column.
+
+    The numbers are part of the written table, so every later scan and every retry sees the
+    same ones; a row can then be told from others with its doc_id and text.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), tag), name
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is not among the (stored, narrow) ones to drop; NULL keys stay.
+
+    A list that was counted small is broadcast, so the texts are not shuffled.
+    """
+    return docs.join(sized(dropped), key, "left_anti").select(*docs.columns)
 
 
 def kept_by_worker(key: Hashable, make: Callable):

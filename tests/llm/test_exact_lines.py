@@ -16,25 +16,27 @@ plain = lambda t: "".join(c for c in t or "" if c not in SPACES)
 @pytest.mark.parametrize("broadcast_rows", [1000, 0])
 @pytest.mark.parametrize("digest_all", [True, False])
 def test_exact_groups(spark, broadcast_rows, digest_all):
-    rows, groups = odd_rows(), defaultdict(list)
-    for i, t in rows:
-        groups[plain(t)].append((-len(t or ""), rank(i), i))
+    rows, groups = [*odd_rows(), (None, "no id, two rows"), (None, "no id, two rows"), (7, "seven's copy"), (7, "seven's copy"), (5, "seven's copy ")], defaultdict(list)
+    for at, (i, t) in enumerate(rows):
+        groups[plain(t)].append((-len(t or ""), i is None, rank(i), at, i))
     again = defaultdict(int)
     for i, t in rows:
         again[len(plain(t)), plain(t)[:64]] += 1
     want = []
-    for i, t in rows:
+    for at, (i, t) in enumerate(rows):
         group = groups[plain(t)]
         digest = sha(plain(t)) if digest_all or again[len(plain(t)), plain(t)[:64]] > 1 else None
-        want.append((i, min(group)[2], len(group), i == min(group)[2], digest))
-    got = exact.exact_groups(odd_docs(spark), digest_all, broadcast_rows=broadcast_rows)
+        want.append((i, min(group)[4], len(group), at == min(group)[3], digest))
+    got = exact.exact_groups(odd_docs(spark, rows), digest_all, broadcast_rows=broadcast_rows)
     same_rows([tuple(r) for r in got.collect()], want)
 
 
 def test_exact_dedup_keeps_columns_and_empty_tables(spark):
     docs = odd_docs(spark)
     kept = exact.drop_exact_copies(docs)
-    assert kept.columns == docs.columns and len({plain(r.text) for r in kept.collect()}) == len({plain(t) for _, t in odd_rows()})
+    assert kept.columns == docs.columns and sorted(plain(r.text) for r in kept.collect()) == sorted({plain(t) for _, t in odd_rows()})
+    twice = odd_docs(spark, [(None, "a copy"), (None, "a copy"), (3, "an other"), (3, "another"), (3, None)])
+    assert sorted(map(str, ((r.doc_id, plain(r.text)) for r in exact.drop_exact_copies(twice).collect()))) == ["(3, '')", "(3, 'another')", "(None, 'acopy')"]
     assert exact.exact_groups(odd_docs(spark, [])).count() == 0
 
 
