@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import ascii_lower, same, sized, stored, text_or_empty
+from cohortline.llm.common import ascii_lower, sized, stored, text_or_empty
 
 # Words of a window of an item, and of a shingle of a window.
 WINDOW, SHINGLE = 10, 5
@@ -53,49 +53,34 @@ def window_shingles(windows: DataFrame, k: int = SHINGLE) -> DataFrame:
     return rows.withColumn("cover", (F.col("off") == 0) | (F.col("off") == F.col("n") - F.col("k")))
 
 
+def text_key(text: str = "text") -> Column:
+    """Digest of a text. Rows are told apart by it, never by a doc_id that others may share."""
+    return F.unhex(F.sha2(F.encode(text_or_empty(text), "UTF-8"), 256))
+
+
 def shared_shingles(docs: DataFrame, tokens: DataFrame, sizes: list[int], rows: int = SHINGLE_ROWS) -> DataFrame:
-    """Shingles of documents that are also shingles of the benchmark: doc_id, n_words, pos, sid.
+    """Shingles of documents that are also shingles of the benchmark: doc_id, key, n_words, pos, sid.
 
     One scan of the texts for each shingle size. Position -1 is a row that every document has.
     """
-    words = docs.select("doc_id", normalised(text_or_empty()).alias("words"))
-    words = words.select("doc_id", word_count(F.col("words")).alias("n_words"), "words")
+    words = docs.select("doc_id", text_key().alias("key"), normalised(text_or_empty()).alias("words"))
+    words = words.select("doc_id", "key", word_count(F.col("words")).alias("n_words"), "words")
     tokens = sized(tokens, rows)
-    parts = [words.select("doc_id", "n_words", F.lit(-1).alias("pos"), F.lit(-1).cast("long").alias("sid"))] if not sizes else []
+    parts = [words.select("doc_id", "key", "n_words", F.lit(-1).alias("pos"), F.lit(-1).cast("long").alias("sid"))] if not sizes else []
     for i, k in enumerate(sizes):
         runs = shingles(F.col("words"), k)
         if i == 0:  # an empty string is no shingle: it stands for the document itself
             runs = F.concat(F.array(F.lit("")), runs)
-        cut = words.select("doc_id", "n_words", F.posexplode(runs).alias("pos", "shingle"))
-        cut = cut.select("doc_id", "n_words", (F.col("pos") - (1 if i == 0 else 0)).alias("pos"), "shingle", F.xxhash64("shingle").alias("h"))
+        cut = words.select("doc_id", "key", "n_words", F.posexplode(runs).alias("pos", "shingle"))
+        cut = cut.select("doc_id", "key", "n_words", (F.col("pos") - (1 if i == 0 else 0)).alias("pos"), "shingle", F.xxhash64("shingle").alias("h"))
         own = tokens.where(F.col("k").isin(k, 0) if i == 0 else F.col("k") == k)
         met = (F.col("c.h") == F.col("t.h")) & (F.col("c.shingle") == F.col("t.shingle"))
-        parts.append(cut.alias("c").join(own.alias("t"), met).select("doc_id", "n_words", "pos", "sid"))
+        parts.append(cut.alias("c").join(own.alias("t"), met).select("doc_id", "key", "n_words", "pos", "sid"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Words of documents that lie in a window of a benchmark item.
-
-    One row per doc_id: n_words, n_hit, n_items, items_sha256, contaminated.
-
-    A window (``window`` words running, or a whole shorter item) is a set of positioned
-    shingles. All must be found, so its prefix is its single rarest shingle: rarity is the
-    number of places in the documents, counted on the shingles that both sides share. Only
-    places of prefixes become candidates; length and position bounds drop those that start
-    before the document or end after it, and a candidate counts when the shingles that
-    spell the window stand at their exact positions (texts are compared, not hashes).
-
-    The texts are scanned once (once more for each length of items below ``shingle`` words).
-    Only shared shingles are stored; later steps are equi-joins on (doc_id, pos, sid), so
-    neither a common passage nor a long document gathers in one task. The benchmark's
-    shingles are broadcast when counted small, else joined by shuffle.
-
-    NULL or wordless texts have no words and no hits; NULL or wordless items have no window.
-    Rows that repeat a doc_id count as one document whose hits are united; items that repeat
-    a text each count. Empty tables give no rows or no hits. Only doc_id, item_id and text
-    are read.
-    """
+def _text_leaks(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n_words of every row; key, n_hit, items of the texts with hits)."""
     if window > 2 * shingle:
         raise ValueError("a window may be at most two shingles long")
     windows, held = item_windows(items, window)
@@ -115,27 +100,54 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle:
     )
     prefixes = stored(ranked.where("rarest.places > 0").select("wid", "n", "rarest.off", "rarest.sid"), "leak-prefixes")
     start = F.col("pos") - F.col("off")
-    candidates = places.join(sized(prefixes), "sid").select("doc_id", "wid", "n", start.alias("start"), "n_words")
-    candidates = candidates.where("start >= 0 AND start + n <= n_words")
+    candidates = places.join(sized(prefixes), "sid").select("key", "wid", "n", start.alias("start"), "n_words")
+    # copies of one text share a digest: combined on the map side before either side is shuffled
+    candidates = candidates.where("start >= 0 AND start + n <= n_words").distinct()
     covers = stored(parts.where("cover").select("wid", "off", "sid"), "leak-covers")
-    wanted = candidates.join(sized(covers), "wid").select("doc_id", "wid", "n", "start", (F.col("start") + F.col("off")).alias("pos"), "sid")
-    met = wanted.alias("w").join(places.select("doc_id", "pos", "sid").alias("p"), same("w", "p", "doc_id", "pos", "sid"), "left_semi")
-    spelled = met.groupBy("doc_id", "wid", "n", "start").agg(F.count_distinct("pos").alias("got"))
-    exact = stored(spelled.where(f"got = IF(n > {shingle}, 2, 1)").select("doc_id", "wid", "n", "start"), "leak-exact")
+    wanted = candidates.join(sized(covers), "wid").select("key", "wid", "n", "start", (F.col("start") + F.col("off")).alias("pos"), "sid")
+    met = wanted.join(places.select("key", "pos", "sid").distinct(), ["key", "pos", "sid"], "left_semi")
+    spelled = met.groupBy("key", "wid", "n", "start").agg(F.count_distinct("pos").alias("got"))
+    exact = stored(spelled.where(f"got = IF(n > {shingle}, 2, 1)").select("key", "wid", "n", "start"), "leak-exact")
 
-    spans = exact.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"))
+    spans = exact.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"))
     covered = F.expr(
         "aggregate(spans, struct(0 AS hit, 0 AS upto), (a, s) -> struct("
         "a.hit + greatest(0, s.end - greatest(s.start, a.upto)) AS hit, greatest(a.upto, s.end) AS upto), a -> a.hit)"
     )
-    hits = spans.select("doc_id", covered.cast("long").alias("n_hit"))
-    names = exact.select("doc_id", "wid").distinct().join(sized(stored(held, "leak-items")), "wid").select("doc_id", F.col("item_id").cast("string").alias("item"))
-    names = names.distinct().groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    total = found.where("pos = -1").groupBy("doc_id").agg(F.max("n_words").cast("long").alias("n_words"))
-    out = total.alias("d").join(hits.alias("h"), same("d", "h", "doc_id"), "left").join(names.alias("i"), same("d", "i", "doc_id"), "left")
+    hits = spans.select("key", covered.cast("long").alias("n_hit"))
+    names = exact.select("key", "wid").distinct().join(sized(stored(held, "leak-items")), "wid").select("key", F.col("item_id").cast("string").alias("item"))
+    names = names.distinct().groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    total = found.where("pos = -1").select("doc_id", "key", F.col("n_words").cast("long").alias("n_words"))
+    return total, stored(hits.join(names, "key"), "leak-hits")
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """Words of documents that lie in a window of a benchmark item.
+
+    One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    A window (``window`` words running, or a whole shorter item) is a set of positioned
+    shingles. All must be found, so its prefix is its single rarest shingle: rarity is the
+    number of places in the documents, counted on the shingles that both sides share. Only
+    places of prefixes become candidates; length and position bounds drop those that start
+    before the document or end after it, and a candidate counts when the shingles that
+    spell the window stand at their exact positions (texts are compared, not hashes).
+
+    The texts are scanned once (once more for each length of items below ``shingle`` words).
+    Only shared shingles are stored; later steps are equi-joins on (digest of the text, pos, sid), so
+    neither a common passage nor a long document gathers in one task. The benchmark's
+    shingles are broadcast when counted small, else joined by shuffle.
+
+    NULL or wordless texts have no words and no hits; NULL or wordless items have no window.
+    Rows that repeat a doc_id or have none are documents of their own: the digest of a text
+    stands for its rows, so no window is made of two rows. Items that repeat
+    a text each count. Empty tables give no rows or no hits. Only doc_id, item_id and text are read.
+    """
+    total, hits = _text_leaks(docs, items, window, shingle)
+    out = total.join(sized(hits), "key", "left")
     n_hit, found_items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        F.col("d.doc_id").alias("doc_id"),
+        "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(found_items).cast("long").alias("n_items"),
@@ -147,30 +159,27 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle:
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows without a benchmark window; all columns stay.
 
-    The digest of a text stands for its doc_id, so rows that share a doc_id or have none
-    get decisions of their own, and equal texts the same one.
+    Equal texts get the same decision, whatever their doc_ids.
     """
-    digest = lambda text: F.unhex(F.sha2(F.encode(text_or_empty(text), "UTF-8"), 256))
-    found = find_leaks(docs.select(digest("text").alias("doc_id"), "text"), items).where("contaminated").select("doc_id")
-    leaks = sized(stored(found, "leak-texts"))
-    return docs.alias("d").join(leaks.alias("l"), digest("d.text") == F.col("l.doc_id"), "left_anti")
+    _, hits = _text_leaks(docs, items, WINDOW, SHINGLE)
+    return docs.alias("d").join(sized(hits.select("key")).alias("l"), text_key("d.text") == F.col("l.key"), "left_anti")
 
 
 SQL = rf"""
 WITH low AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 items AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 spots AS (SELECT item_id, w, least(len(w), {WINDOW}) AS n, unnest(range(greatest(1, len(w) - {WINDOW - 1}))) AS pos FROM items WHERE len(w) > 0),
 wins AS (SELECT DISTINCT item_id, n, array_to_string(w[pos + 1 : pos + n], ' ') AS win FROM spots),
 sizes AS (SELECT DISTINCT n FROM wins),
-runs AS (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS pos FROM low, sizes WHERE len(w) >= n),
-cut AS (SELECT doc_id, n, pos, array_to_string(w[pos + 1 : pos + n], ' ') AS win FROM runs),
-hits AS (SELECT doc_id, item_id, pos, n FROM cut JOIN wins USING (n, win)),
-words AS (SELECT doc_id, count(DISTINCT pos + k) AS n_hit FROM (SELECT doc_id, pos, unnest(range(n)) AS k FROM hits) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
-          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+runs AS (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS pos FROM low, sizes WHERE len(w) >= n),
+cut AS (SELECT r, n, pos, array_to_string(w[pos + 1 : pos + n], ' ') AS win FROM runs),
+hits AS (SELECT r, item_id, pos, n FROM cut JOIN wins USING (n, win)),
+words AS (SELECT r, count(DISTINCT pos + k) AS n_hit FROM (SELECT r, pos, unnest(range(n)) AS k FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM low LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+FROM low LEFT JOIN words USING (r) LEFT JOIN named USING (r)
 """

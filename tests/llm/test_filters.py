@@ -5,11 +5,12 @@ from zlib import crc32
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as registered
 import corpus_pipeline
-from cohortline.llm import contamination, simhash, toxicity, urls
+from cohortline.llm import contamination, exact, simhash, toxicity, urls
 from cohortline.llm.queries import ORACLES, QUERIES
 from tests.helpers import SF
 from tests.llm.odd import BENCHMARK, odd_docs, odd_rows, same_rows, words_of
@@ -165,6 +166,17 @@ def test_stages_decide_rows_that_share_an_id_or_have_none(spark):
     halves = [(None, "the quick brown fox jumps over"), (None, "the lazy dog again and again until night falls")]
     halves = [(i, t) for i, t in halves if not brute_leaks([(1, t)], BENCHMARK)[0][5]]
     assert order(contamination.drop_leaks(odd_docs(spark, halves), items(spark)).collect()) == sorted(halves, key=str)
+    # nor do two rows of one doc_id make a window in the operator, and its SQL agrees on such rows
+    rows += [*halves, *((7, t) for _, t in halves)]
+    want = [(i, *brute_leaks([(1, t)], BENCHMARK)[0][1:]) for i, t in rows]
+    docs = odd_docs(spark, rows)
+    same_rows([tuple(r) for r in contamination.find_leaks(docs, items(spark)).collect()], want)
+    tables = duckdb.connect()
+    tables.register("documents", pa.Table.from_pylist([{"doc_id": i, "text": t} for i, t in rows]))
+    tables.register("benchmark", pa.Table.from_pylist([{"item_id": i, "text": t} for i, t in BENCHMARK]))
+    same_rows(tables.execute(contamination.SQL).fetchall(), want)
+    exact_rows = [tuple(r) for r in exact.exact_groups(docs, digest_all=True).collect()]
+    same_rows(tables.execute(exact.SQL).fetchall(), exact_rows)
     # labelled rows with plain words for either side
     learned = [(k, "vile hateful slur " * 6 if k % 2 else "calm and kind day " * 6) for k in range(100, 300)]
     labels = spark.createDataFrame([(i, i % 2) for i, _ in learned], "doc_id long, toxic int")
