@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.llm.bpe import slices
-from cohortline.llm.common import keep_ids, same, stored, text_or_empty, travels
+from cohortline.llm.common import numbered, same, stored, text_or_empty, travels, without
 from cohortline.llm.graph import components
 
 # Words of a shingle, seed of its hash, and bits in which linked fingerprints may differ.
@@ -35,17 +35,19 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > len(hashes)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed 64-bit number) of every row."""
+def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed 64-bit number) of every row; ``row`` is a number to carry along."""
+    carried = ["doc_id"] if row is None else ["doc_id", "_row"]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 values = np.array([fingerprint(t.as_py()) for t in part.column("text")], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(values)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(values)], names=[*carried, "fp"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return texts.mapInArrow(run, "doc_id long, fp long")
+    number = [] if row is None else [F.col(row).alias("_row")]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *number, text_or_empty().alias("text"))
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in [*carried, "fp"]))
 
 
 def _masks() -> list[tuple[int, int, int]]:
@@ -97,6 +99,18 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return left.join(right, near & first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+def _grouped(rows: DataFrame, bits: int) -> DataFrame:
+    """Fingerprint rows with the component of their fingerprint: component_id added."""
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "near-distinct")
+    # rows that repeat a doc_id tie their fingerprints together
+    tied = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
+    tied = rows.join(tied, "doc_id").join(distinct, "fp").where("id <> doc_id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    edges = stored(links(distinct.where("id IS NOT NULL"), bits).unionByName(tied).distinct(), "near-links")
+    roots = components(edges)
+    named = stored(distinct.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id")), "near-roots")
+    return rows.alias("r").join(named.alias("n"), same("r", "n", "fp")).select("r.*", "component_id")
+
+
 def near_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """Components of documents whose fingerprints are linked: doc_id, fingerprint, component_id.
 
@@ -110,25 +124,24 @@ def near_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     NULL doc_ids have has a NULL component. An empty table gives an empty result. Only
     doc_id and text are read.
     """
-    rows = stored(fingerprints(docs), "near-fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "near-distinct")
-    # rows that repeat a doc_id tie their fingerprints together
-    tied = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
-    tied = rows.join(tied, "doc_id").join(distinct, "fp").where("id <> doc_id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    edges = stored(links(distinct.where("id IS NOT NULL"), bits).unionByName(tied).distinct(), "near-links")
-    roots = components(edges)
-    named = stored(distinct.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id")), "near-roots")
-    out = rows.alias("r").join(named.alias("n"), same("r", "n", "fp"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("r.fp")), 16, "0")).alias("fingerprint"), "component_id")
+    out = _grouped(stored(fingerprints(docs), "near-fingerprints"), bits)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """One document of each component, the smallest doc_id; all columns stay.
+    """One row of each component, that of the smallest doc_id; all columns stay.
 
-    Documents without a component (NULL doc_id) stay.
+    Rows are numbered in a stored table first: of rows that share that doc_id one stays, and
+    rows without doc_id go unless no row with one is in their component. Rows whose fingerprint only rows
+    without doc_id have are a component of that fingerprint. Only numbers of dropped rows are joined.
     """
-    found = near_groups(docs, bits)
-    return keep_ids(docs, found.where("component_id IS NULL OR doc_id = component_id"))
+    rows, name = numbered(docs, "near-numbered")
+    found = stored(_grouped(stored(fingerprints(rows, name), "near-fingerprints"), bits), "near-grouped")
+    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_row").alias("row")))
+    stays = found.groupBy(*group).agg(first.alias("first")).select(F.col("first.row").alias("_row"))
+    dropped = stored(found.select("_row").join(stays, "_row", "left_anti").select(F.col("_row").alias(name)), "near-dropped")
+    return without(rows, dropped, name).drop(name)
 
 
 travels(__name__)

@@ -51,6 +51,12 @@ def test_near_groups_of_odd_rows(spark):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == roots and kept.columns == odd_docs(spark).columns
 
 
+def test_near_stage_keeps_one_row_of_each_group(spark):
+    rows = [(None, "only rows without id hold this text"), (None, "only rows without id hold this text"), (None, "this text has ids too"), (4, "this text has ids too"), (4, "this text has ids too"), (9, "this text has ids too")]
+    kept = simhash.drop_near_copies(odd_docs(spark, rows))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [rows[0], rows[3]]))
+
+
 def test_every_link_up_to_four_bits_and_none_beyond(spark):
     rng = random.Random(4)
     prints = []
