@@ -169,12 +169,12 @@ FROM line_list l JOIN stay s ON l.finalid = s.finalid
 WHERE hospital_in - l.specimen_date BETWEEN -90 AND 14 AND NOT (hospital_in - l.specimen_date < 0 AND hospital_out - l.specimen_date = 0)""",
 )
 def stay_window_match(p):
-    matched = joins.link_events(
+    matched = joins.link_events_within(
         p.line_list.select("finalid", "specimen_date"), p.stay.select("finalid", "hospital_in", "hospital_out"),
-        "finalid", "finalid", "hospital_in",
+        "finalid", "finalid", "specimen_date", "hospital_in", -LINK.prior_stay_days, LINK.max_days_to_stay,
     )
     lagged = linkage.stay_lags(matched, "specimen_date")
-    keep = F.col("sp2adm").between(-LINK.prior_stay_days, LINK.max_days_to_stay) & ~((F.col("sp2adm") < 0) & (F.col("sp2dis") == 0))
+    keep = ~((F.col("sp2adm") < 0) & (F.col("sp2dis") == 0))
     return lagged.where(keep).select("finalid", "specimen_date", "hospital_in", "hospital_out", "sp2adm")
 
 

@@ -41,9 +41,24 @@ def _with_hot_mark(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFr
     return joined.select("d.*", F.coalesce(F.col("h._mark"), F.lit(False)).alias("_hot"))
 
 
-def _row_salt(df: DataFrame, salts: int) -> Column:
-    """Salt of a row, from its own content so that a retried task repeats it."""
-    return F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(salts)).cast("int")
+def _salted(df: DataFrame, hot: DataFrame, keys: Sequence[str], salts: int) -> DataFrame:
+    """Add ``_hot`` and ``_salt``; rows of hot keys are dealt round by their position.
+
+    The position, unlike the content, differs between equal rows. It may change when a task
+    is run again, so rows that need it are stored with it before they are shuffled; without
+    hot keys nothing is stored.
+    """
+    marked = _with_hot_mark(df, hot, keys)
+    if hot.isEmpty():
+        return marked.withColumn("_salt", F.lit(0))
+    position = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    return cut_lineage(marked.withColumn("_salt", F.when(F.col("_hot"), position).otherwise(0)))
+
+
+def _copied(df: DataFrame, hot: DataFrame, keys: Sequence[str], salts: int) -> DataFrame:
+    """Add ``_hot`` and ``_salt``; a row of a hot key is copied to every salt."""
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return _with_hot_mark(df, hot, keys).withColumn("_salt", F.explode(copies))
 
 
 def join_unique(
@@ -61,11 +76,7 @@ def join_unique(
     key. Rows of hot keys are spread over ``salts`` tasks. NULL keys match NULL keys.
     """
     hot = hot_keys(lookup, keys, n, share, hot_rows)
-    left = _with_hot_mark(rows, hot, keys)
-    left = left.withColumn("_salt", F.when(F.col("_hot"), _row_salt(rows, salts)).otherwise(0))
-    right = _with_hot_mark(lookup, hot, keys)
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = right.withColumn("_salt", F.explode(copies))
+    left, right = _salted(rows, hot, keys, salts), _copied(lookup, hot, keys, salts)
     joined = left.alias("l").join(right.alias("r"), all_of(_same("l", "r", [*keys, "_salt"])), "left")
     extra = [c for c in lookup.columns if c not in keys]
     return joined.select(*[F.col(f"l.{c}") for c in rows.columns], *[F.col(f"r.{c}") for c in extra])
@@ -142,24 +153,58 @@ def link_many(
     counts = cut_lineage(table.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
 
     # keep: spread the repeated side of hot keys, copy their single index row to each salt
-    hot = hot_keys(counts, [key], "n", share, hot_rows)
-    right = _with_hot_mark(table, hot, [key]).withColumn(
-        "_salt", F.when(F.col("_hot"), _row_salt(table, salts)).otherwise(0)
-    ).drop("_hot").withColumn("_found", F.lit(True))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = _with_hot_mark(index, hot, [key]).withColumn("_salt", F.explode(copies))
-    joined = left.join(right, [key, "_salt"], "left")
+    hot = hot_keys(counts, [key], "n", share, hot_rows).where(F.col(key).isNotNull())
+    right = _salted(table, hot, [key], salts).drop("_hot").withColumn("_found", F.lit(True))
+    joined = _copied(index, hot, [key], salts).join(right, [key, "_salt"], "left")
     # a hot key has matches under some salt, so its unmatched copies are no rows of the result
     kept = joined.where(F.col("_found").isNotNull() | ~F.col("_hot"))
     return kept.select(*index.columns, *extra)
 
 
-def link_events(index: DataFrame, events: DataFrame, key: str, event_key: str, present: str) -> DataFrame:
-    """Index × events of the same entity, events without ``present`` dropped."""
-    found = events.where(F.col(present).isNotNull())
-    if event_key != key:
-        found = found.withColumnRenamed(event_key, key)
-    return index.join(found, key, "inner")
+def _present(events: DataFrame, key: str, event_key: str, present: str) -> DataFrame:
+    found = events.where(F.col(present).isNotNull() & F.col(event_key).isNotNull())
+    return found if event_key == key else found.withColumnRenamed(event_key, key)
+
+
+def link_events(
+    index: DataFrame, events: DataFrame, key: str, event_key: str, present: str,
+    salts: int = SALTS, hot_rows: int = HOT_ROWS, share: float = HOT_SHARE,
+) -> DataFrame:
+    """Index × events of the same entity, events without ``present`` dropped.
+
+    Events of hot keys are dealt over ``salts`` tasks, the index rows of those keys copied to each.
+    """
+    found = _present(events, key, event_key, present)
+    # stored once, as the total and the list of hot keys both read it
+    counts = cut_lineage(found.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    hot = hot_keys(counts, [key], "n", share, hot_rows)
+    right = _salted(found, hot, [key], salts).drop("_hot")
+    joined = _copied(index, hot, [key], salts).join(right, [key, "_salt"], "inner")
+    return joined.select(*index.columns, *[c for c in found.columns if c != key])
+
+
+def link_events_within(
+    index: DataFrame, events: DataFrame, key: str, event_key: str, index_date: str, event_date: str, low: int, high: int
+) -> DataFrame:
+    """Index × events of the same entity whose lag (event minus index, in days) is low to high.
+
+    Dates are cut into bins as wide as the window, so an index row reaches two bins at most
+    and an event lies in one. The join is on (entity, bin): an entity of any size is spread
+    over its bins, a pair outside the window is never a row, and a pair inside comes once.
+    Rows without a key or a date have no pairs.
+    """
+    if high < low:
+        raise ValueError("the window ends before it starts")
+    width = high - low + 1
+    day = lambda c, shift: F.floor((F.unix_date(F.col(c)) + shift) / width).cast("int")
+    bins = F.array_distinct(F.array(day(index_date, low), day(index_date, high)))
+    left = index.where(F.col(index_date).isNotNull()).withColumn("_bin", F.explode(bins))
+    found = _present(events, key, event_key, event_date)
+    right = found.withColumn("_bin", day(event_date, 0))
+    lag = F.datediff(F.col(f"e.{event_date}"), F.col(f"i.{index_date}"))
+    met = all_of([F.col(f"i.{key}") == F.col(f"e.{key}"), F.col("i._bin") == F.col("e._bin"), lag.between(low, high)])
+    joined = left.alias("i").join(right.alias("e"), met)
+    return joined.select(*[F.col(f"i.{c}") for c in index.columns], *[F.col(f"e.{c}") for c in found.columns if c != key])
 
 
 def accept_in_window(df: DataFrame, lag: Column, low: int, high: int, fields: Sequence[str]) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql.window import Window
 
 from cohortline.functions.values import flag
 from cohortline.operators.aggregates import mean_se
+from cohortline.sources.storage import cut_lineage
+
+# Up to this many levels are ordered by one window per variable; more are ordered by range.
+WINDOW_LEVELS = 100_000
 
 
 def stacked_levels(df: DataFrame, variables: Mapping[str, Column], keep: Sequence[str]) -> DataFrame:
@@ -18,9 +22,28 @@ def stacked_levels(df: DataFrame, variables: Mapping[str, Column], keep: Sequenc
     return df.select(*keep, F.inline(F.array(*pairs))).where(F.col("level").isNotNull())
 
 
+def ranked(rows: DataFrame, group: str, order: Sequence[Column], name: str, window_rows: int = WINDOW_LEVELS) -> DataFrame:
+    """Number stored rows 1, 2, ... within each group in a total order.
+
+    A table counted small is numbered by a window. A larger one is cut into ranges of
+    (group, order), stored with the range's number, numbered within each range, and shifted by
+    the sizes of the group's ranges before; the sizes, one per group and range that meet, are
+    what passes through one task of a group. Both ways give the same numbers.
+    """
+    if rows.limit(window_rows + 1).count() <= window_rows:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    cut = cut_lineage(rows.repartitionByRange(F.col(group), *order).withColumn("_range", F.spark_partition_id()))
+    sizes = cut.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(group, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    joined = cut.withColumn("_within", within).join(offsets, [group, "_range"])
+    return joined.select(*rows.columns, (F.col("_within") + F.col("_offset")).cast("int").alias(name))
+
+
 def level_dimension(
     df: DataFrame, variables: Mapping[str, Column], declared: Mapping[str, Sequence[str]] | None = None,
-    reference: Mapping[str, str] | None = None,
+    reference: Mapping[str, str] | None = None, window_levels: int = WINDOW_LEVELS,
 ) -> DataFrame:
     """Level list of categorical variables: (variable, level, ordinal, is_reference).
 
@@ -37,13 +60,9 @@ def level_dimension(
         ref = F.lit(False)
         for v, level in reference.items():
             ref = ref | ((F.col("variable") == v) & (F.col("level") == level))
-        order = Window.partitionBy("variable").orderBy(
-            F.col("is_reference").desc(), F.expr("try_cast(level AS double)").asc_nulls_last(), "level"
-        )
-        parts.append(
-            seen.withColumn("is_reference", ref).withColumn("ordinal", F.row_number().over(order))
-            .select("variable", "level", "ordinal", "is_reference")
-        )
+        order = [F.col("is_reference").desc(), F.expr("try_cast(level AS double)").asc_nulls_last(), F.col("level")]
+        known = cut_lineage(seen.withColumn("is_reference", ref))
+        parts.append(ranked(known, "variable", order, "ordinal", window_levels).select("variable", "level", "ordinal", "is_reference"))
     rows = [
         (v, level, i, level == reference.get(v))
         for v, levels in declared.items()

@@ -9,7 +9,7 @@ from cohortline.operators.aggregates import latest_record, widen
 from cohortline.operators.assays import resolve_conflicts, threshold_call
 from cohortline.operators.selection import Step, apply_steps, attrition_ledger
 from cohortline.plans import derivation, linkage
-from tests.helpers import by_key, day, rows
+from tests.helpers import DAY0, by_key, day, rows
 
 CFG = StudyConfig()
 
@@ -196,6 +196,50 @@ def test_travel_flag_includes_negative_lags(spark):
     assert by_key(linkage.link_travel(ll, travel, CFG), "finalid", "traveller") == {1: 1, 2: 0, 3: 1, 4: 0}
 
 
+def test_equal_rows_of_a_hot_key_use_all_salts(spark):
+    equal = spark.range(0, 1_000_000, numPartitions=4).select(F.lit("a").alias("k"), F.lit("same").alias("v"))
+    hot = spark.createDataFrame([("a",)], "k string")
+    sizes = [r["count"] for r in joins._salted(equal, hot, ["k"], joins.SALTS).groupBy("_salt").count().collect()]
+    assert len(sizes) == joins.SALTS and sum(sizes) == 1_000_000 and max(sizes) < 1.01 * min(sizes)
+    plain = joins._salted(equal, hot.limit(0), ["k"], joins.SALTS)
+    assert plain.select("_salt").distinct().count() == 1
+
+
+def test_fanout_join_keeps_an_index_row_without_key_beside_a_hot_null(spark):
+    index = spark.createDataFrame([(None, 1), ("a", 2)], "k string, i int")
+    table = spark.createDataFrame([(None, "x")] * 5 + [("a", "y")] * 5, "k string, v string")
+    out = joins.link_many(index, table, "k", hot_rows=1, share=0.01, salts=3)
+    assert rows(out, "i", "v") == [(1, None)] + [(2, "y")] * 5
+
+
+def test_event_links_with_hot_keys_and_in_windows(spark):
+    index = [("a", 0), ("a", 3), ("a", 40), ("b", 5), ("c", None), (None, 1)]
+    events = [("a", d) for d in range(-60, 90)] + [("a", 3), ("a", 3), ("b", 4), ("b", None), ("d", 5), (None, 1), ("c", 1)]
+    left = spark.createDataFrame([(k, day(d)) for k, d in index], "k string, at date")
+    right = spark.createDataFrame([(k, day(d), "x") for k, d in events], "id string, seen date, note string")
+    pairs = [(k, a, d) for k, a in index for j, d in events if k is not None and k == j and d is not None]
+    want = sorted(((k, day(a), day(d)) for k, a, d in pairs), key=str)
+    for limits in ({}, {"hot_rows": 1, "share": 0.01, "salts": 5}):
+        out = joins.link_events(left, right, "k", "id", "seen", **limits)
+        assert out.columns == ["k", "at", "seen", "note"]
+        assert sorted(((r.k, r.at, r.seen) for r in out.collect()), key=str) == want
+    for low, high in ((0, 14), (-90, 14), (-3, -3), (5, 6), (-200, 200)):
+        out = joins.link_events_within(left, right, "k", "id", "at", "seen", low, high)
+        inside = sorted(((k, day(a), day(d)) for k, a, d in pairs if a is not None and low <= d - a <= high), key=str)
+        assert sorted(((r.k, r.at, r.seen) for r in out.collect()), key=str) == inside and out.columns == ["k", "at", "seen", "note"]
+
+
+def test_a_person_with_very_many_events_is_spread_over_bins(spark):
+    """A million events of one person, 2 in the window: the join's widest input is a bin, not the person."""
+    events = spark.range(1_000_000).select(F.lit(1).alias("k"), F.date_add(F.lit(DAY0), (F.col("id") / 2).cast("int") - 200_000).alias("seen"))
+    index = spark.createDataFrame([(1, DAY0)], "k int, at date")
+    out = joins.link_events_within(index, events, "k", "k", "at", "seen", 0, 0)
+    assert out.count() == 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "_bin" in join and "datediff" in join.lower()
+
+
 def test_fanout_join_with_hot_keys(spark):
     left = spark.createDataFrame([(k,) for k in range(6)], "k int")
     right = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 1), (2, 2), (9, 1)], "k int, v int")
