@@ -258,3 +258,19 @@ def test_stacked_models_are_fitted_as_alone(spark, sample):
     for name, patterns in models_.items():
         for r in hazard.fit_hazards(patterns, eps=1e-13).collect():
             assert np.isclose(got[name, "f", r.term], r.estimate, atol=1e-9)
+
+
+def test_patterns_hold_an_entry_per_term_not_a_number_per_column(spark):
+    rng = np.random.default_rng(4)
+    n = 300
+    df = pd.DataFrame({"g": rng.integers(0, 25, n).astype(str), "h": rng.choice(["u", "v"], n), "r": rng.normal(size=n).round(1), "s": rng.integers(0, 40, n), "t": rng.choice([1.0, 2.0, 5.0], n), "e": rng.integers(0, 2, n)})
+    terms = [factor("g"), within("h", "r")]
+    patterns = hazard.collapse_patterns(spark.createDataFrame(df), terms, F.lit("f"), F.col("s"), F.col("t"), F.col("e"))
+    assert len(patterns.terms) == 26
+    assert patterns.table.agg(F.max(F.size("v")), F.max(F.size("at"))).first() == (2, 2)
+    levels = sorted(df.g.unique(), key=float)[1:]
+    x = np.column_stack([*[df.g == v for v in levels], *[np.where(df.h == v, df.r, 0.0) for v in ("u", "v")]]).astype(float)
+    beta = rng.normal(size=26) / 3
+    got = hazard._evaluate(patterns, {"f": beta})["f"]
+    want = brute_force(df.s.to_numpy(), df.t.to_numpy(), df.e.to_numpy(), x, beta)
+    assert all(np.allclose(a, b, atol=1e-8) for a, b in zip(got[1:], want[1:]))
