@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.llm.bpe import slices
-from cohortline.llm.common import LOWER, SPACES, UPPER, ascii_lower, same, stored, text_or_empty, travels
+from cohortline.llm.common import LOWER, SPACES, UPPER, ascii_lower, kept_by_worker, same, stored, text_or_empty, travels
 
 # Shorter keys (in code points) are never dropped.
 MIN_KEY = 10
@@ -151,7 +152,10 @@ def hashed_lines(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.n
 
 
 def _rewrite(docs: DataFrame, drops) -> DataFrame:
-    """Apply ``drops(doc_id, counts, h, g, row)`` -> mask to every document."""
+    """Apply ``drops(doc_id, h, g, of, extra)`` -> mask to the lines of many documents at a time.
+
+    ``of`` numbers the document of each line, ``extra`` holds the further columns of the documents.
+    """
     schema = "doc_id long, kept string, n_lines long, n_dropped long"
     extra = [c for c in docs.columns if c not in ("doc_id", "text")]
 
@@ -159,16 +163,18 @@ def _rewrite(docs: DataFrame, drops) -> DataFrame:
         dropper = drops()
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = []
-                for k, text in enumerate(part.column("text").to_pylist()):
-                    doc_id = part.column("doc_id")[k].as_py()
-                    lines, counts, h, g = hashed_lines(text.encode())
-                    gone = counts & dropper(doc_id, h, g, {c: part.column(c)[k].as_py() for c in extra})
-                    kept = b"\n".join([x for x, y in zip(lines, gone.tolist(), strict=True) if not y])
-                    rows.append((doc_id, kept.decode(), len(lines), int(gone.sum())))
-                ids, texts, n, d = zip(*rows, strict=True)
+                ids = part.column("doc_id").to_numpy()
+                lines, counts, hs, gs = zip(*[hashed_lines(t.encode()) for t in part.column("text").to_pylist()], strict=True)
+                sizes = np.array([len(x) for x in lines])
+                of = np.repeat(np.arange(len(ids)), sizes)
+                gone = np.concatenate(counts) & dropper(ids[of], np.concatenate(hs), np.concatenate(gs), of, {c: part.column(c).to_pylist() for c in extra})
+                kept, flags, at = [], gone.tolist(), 0
+                for found in lines:
+                    own = flags[at : at + len(found)]
+                    kept.append(b"\n".join([x for x, y in zip(found, own, strict=True) if not y]).decode())
+                    at += len(found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())],
+                    [pa.array(ids, pa.int64()), pa.array(kept, pa.string()), pa.array(sizes, pa.int64()), pa.array(np.bincount(of, gone, len(ids)).astype(np.int64))],
                     names=["doc_id", "kept", "n_lines", "n_dropped"],
                 )
 
@@ -176,19 +182,21 @@ def _rewrite(docs: DataFrame, drops) -> DataFrame:
 
 
 def _broadcast_way(docs: DataFrame, index: DataFrame, count: int) -> DataFrame:
+    mark = uuid.uuid4().hex
     blobs = docs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.data) for r in index.select("shard", "data").collect()})
 
     def drops():
-        shards = {k: Shard.unpack(v) for k, v in blobs.value.items()}
+        # the index is unpacked once for all tasks of a worker
+        shards = kept_by_worker(("lines", mark), lambda: {k: Shard.unpack(v) for k, v in blobs.value.items()})
 
-        def gone(doc_id, h, g, _):
+        def gone(doc_id, h, g, *_):
             out = np.zeros(len(h), bool)
             home = h.view(np.int64) % count
             for k in np.unique(home).tolist():
                 if k in shards:
                     at = np.flatnonzero(home == k)
                     known, first = shards[k].first_of(h[at], g[at])
-                    out[at] = known & (first < doc_id)
+                    out[at] = known & (first < doc_id[at])
             return out
 
         return gone
@@ -217,7 +225,15 @@ def _routed_way(docs: DataFrame, lines: DataFrame, index: DataFrame, count: int,
     marked = docs.alias("d").join(gone.alias("g"), same("d", "g", "doc_id"), "left").select("d.doc_id", "d.text", "g.gone")
 
     def drops():
-        return lambda doc_id, h, g, row: np.isin(h.view(np.int64), np.array(row["gone"] or [], np.int64))
+        def gone(doc_id, h, g, of, extra):
+            out, starts = np.zeros(len(h), bool), np.searchsorted(of, np.arange(len(extra["gone"]) + 1))
+            for k, own in enumerate(extra["gone"]):
+                if own:
+                    at = slice(starts[k], starts[k + 1])
+                    out[at] = np.isin(h[at].view(np.int64), np.array(own, np.int64))
+            return out
+
+        return gone
 
     return _rewrite(marked, drops)
 

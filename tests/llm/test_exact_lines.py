@@ -62,6 +62,13 @@ def test_line_dedup(spark, index_keys):
     assert lines.drop_repeated_lines(odd_docs(spark, []), index_keys).count() == 0
 
 
+def test_lines_of_many_documents_are_probed_together(spark):
+    docs = spark.createDataFrame([(i, f"a\nline of document {i}\n") for i in range(40)], "doc_id long, text string").coalesce(1)
+    together = lambda: lambda doc_id, h, g, of, extra: np.full(len(h), len(np.unique(of)) == 40)
+    got = {r.doc_id: (r.kept, r.n_lines, r.n_dropped) for r in lines._rewrite(docs, together).collect()}
+    assert got == {i: ("a\n", 3, 1) for i in range(40)}
+
+
 def test_minimal_perfect_hash():
     rng = np.random.default_rng(1)
     h, g = (rng.integers(0, 1 << 64, 5000, dtype=np.uint64) for _ in range(2))
