@@ -88,15 +88,20 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
 
     Three segments are enough up to four bits: one then differs by a bit at most, so both
     fingerprints share the variant in which that bit is wiped out. Distance is verified
-    within the equality-join, so candidates that fail are never rows.
+    within the equality-join, so candidates that fail are never rows. ``distinct`` (fp, id) has
+    one row for each fingerprint.
     """
     if bits > 2 * len(SEGMENTS) - 2:
         raise ValueError("too many bits for the segments")
-    left, right = variants(distinct).alias("a"), variants(distinct).alias("b")
+    # only a fingerprint and its key travel 64 times: the key tells the bit, and ids are joined to the few pairs
+    wiped = variants(distinct).select("fp", "key")
+    left, right = wiped.alias("a"), wiped.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= bits)
-    first = F.expr("shiftleft(1L, a.bit)") == _once(x)
-    return left.join(right, near & first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    first = F.expr("shiftleft(1L, shiftright(a.key, 22))") == _once(x)
+    pairs = left.join(right, near & first).select(F.col("a.fp").alias("_a"), F.col("b.fp").alias("_b"))
+    ids = [distinct.select(F.col("fp").alias(f"_{c}"), F.col("id").alias(c)) for c in ("a", "b")]
+    return pairs.join(ids[0], "_a").join(ids[1], "_b").select("a", "b")
 
 
 def _grouped(rows: DataFrame, bits: int) -> DataFrame:
