@@ -279,3 +279,4 @@ FROM marked GROUP BY doc_id
 """
 
 travels(__name__)
+travels(kept_by_worker.__module__)
