@@ -59,9 +59,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Mark a table of unbounded size for a sort-merge join.
+
+    Spark judges a stored table by its compressed file, and one made of it by ``explode`` as no
+    larger, so a table of many times its limit might be gathered in the driver to be broadcast.
+    """
+    return df.hint("merge")
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a stored table for broadcast if its counted size allows it; else it is shuffled."""
-    return F.broadcast(df) if small(df, rows) else df
+    return F.broadcast(df) if small(df, rows) else shuffled(df)
 
 
 def numbered(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:

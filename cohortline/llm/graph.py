@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import stored
+from cohortline.llm.common import sized, stored
 
 
 def _jump(parents: DataFrame) -> DataFrame:
     """Follow pointers (node, root), which always go to a smaller number, to their ends."""
     while True:
         up = parents.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        parents = stored(parents.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "graph-jump")
+        parents = stored(parents.join(sized(up), "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "graph-jump")
         if parents.where("moved").isEmpty():
             return parents.select("node", "root")
         parents = parents.select("node", "root")
@@ -33,15 +33,16 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).where("root < node")
         parents = _jump(stored(smallest, "graph-hooks"))
-        ends = parents.select(F.col("node").alias("root"), F.col("root").alias("end"))
+        known = sized(parents)
+        ends = known.select(F.col("node").alias("root"), F.col("root").alias("end"))
         if labels is None:
             labels = parents
         else:
             # every node of a contracted link is an end of the round before
             moved = labels.join(ends, "root", "left").select("node", F.coalesce("end", "root").alias("root"))
-            labels = moved.unionByName(parents.join(labels, "node", "left_anti"))
+            labels = moved.unionByName(parents.join(sized(labels), "node", "left_anti"))
         labels = stored(labels, "graph-labels")
-        to = lambda side: parents.select(F.col("node").alias(side), F.col("root").alias(f"{side}_end"))
+        to = lambda side: known.select(F.col("node").alias(side), F.col("root").alias(f"{side}_end"))
         moved = edges.join(to("a"), "a", "left").join(to("b"), "b", "left")
         moved = moved.select(F.coalesce("a_end", "a").alias("a"), F.coalesce("b_end", "b").alias("b")).where("a <> b")
         edges = stored(moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "graph-links")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.llm.bpe import slices
-from cohortline.llm.common import numbered, same, stored, text_or_empty, travels, without
+from cohortline.llm.common import numbered, same, shuffled, sized, stored, text_or_empty, travels, without
 from cohortline.llm.graph import components
 
 # Words of a shingle, seed of its hash, and bits in which linked fingerprints may differ.
@@ -95,12 +95,13 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
         raise ValueError("too many bits for the segments")
     # only a fingerprint and its key travel 64 times: the key tells the bit, and ids are joined to the few pairs
     wiped = variants(distinct).select("fp", "key")
-    left, right = wiped.alias("a"), wiped.alias("b")
+    left, right = wiped.alias("a"), shuffled(wiped).alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= bits)
     first = F.expr("shiftleft(1L, shiftright(a.key, 22))") == _once(x)
     pairs = left.join(right, near & first).select(F.col("a.fp").alias("_a"), F.col("b.fp").alias("_b"))
-    ids = [distinct.select(F.col("fp").alias(f"_{c}"), F.col("id").alias(c)) for c in ("a", "b")]
+    known = sized(distinct)
+    ids = [known.select(F.col("fp").alias(f"_{c}"), F.col("id").alias(c)) for c in ("a", "b")]
     return pairs.join(ids[0], "_a").join(ids[1], "_b").select("a", "b")
 
 
@@ -109,11 +110,11 @@ def _grouped(rows: DataFrame, bits: int) -> DataFrame:
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "near-distinct")
     # rows that repeat a doc_id tie their fingerprints together
     tied = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
-    tied = rows.join(tied, "doc_id").join(distinct, "fp").where("id <> doc_id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    tied = rows.join(shuffled(tied), "doc_id").join(sized(distinct), "fp").where("id <> doc_id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     edges = stored(links(distinct.where("id IS NOT NULL"), bits).unionByName(tied).distinct(), "near-links")
     roots = components(edges)
-    named = stored(distinct.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id")), "near-roots")
-    return rows.alias("r").join(named.alias("n"), same("r", "n", "fp")).select("r.*", "component_id")
+    named = stored(distinct.join(sized(roots), "id", "left").select("fp", F.coalesce("root", "id").alias("component_id")), "near-roots")
+    return rows.alias("r").join(sized(named).alias("n"), same("r", "n", "fp")).select("r.*", "component_id")
 
 
 def near_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -145,7 +146,7 @@ def drop_near_copies(docs: DataFrame, bits: int = BITS) -> DataFrame:
     group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_row").alias("row")))
     stays = found.groupBy(*group).agg(first.alias("first")).select(F.col("first.row").alias("_row"))
-    dropped = stored(found.select("_row").join(stays, "_row", "left_anti").select(F.col("_row").alias(name)), "near-dropped")
+    dropped = stored(found.select("_row").join(shuffled(stays), "_row", "left_anti").select(F.col("_row").alias(name)), "near-dropped")
     return without(rows, dropped, name).drop(name)
 
 

@@ -6,8 +6,9 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from cohortline.llm import graph, simhash, substrings
+from cohortline.llm import common, graph, simhash, substrings
 from tests.llm.odd import lower, odd_docs, odd_rows, rank, same_rows
 
 
@@ -137,3 +138,15 @@ def test_anchors_are_dealt_evenly_to_parts():
     pieces = substrings.Pieces(data, np.array([0, len(data)]), 16)
     counts = np.bincount(pieces.part, minlength=16)
     assert counts.min() > 0.8 * counts.mean() and counts.max() < 1.2 * counts.mean()
+
+
+def test_variants_are_never_broadcast(spark):
+    def plan(df):
+        return df._jdf.queryExecution().sparkPlan().toString()
+
+    prints = spark.range(100).select(F.xxhash64("id").alias("fp"), "id")
+    # 64 rows of each fingerprint, which Spark takes for one
+    assert "SortMergeJoin [key" in plan(simhash.links(common.stored(prints, "test")))
+    # counted as too many, however small the file
+    joined = [plan(prints.join(common.sized(prints, n), "id")) for n in (99, 100)]
+    assert "SortMergeJoin" in joined[0] and "BroadcastHashJoin" in joined[1]
