@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import BROADCAST_ROWS, numbered, small, stored, text_or_empty, without, without_spaces
+from cohortline.llm.common import BROADCAST_ROWS, numbered, shuffled, sized, small, stored, text_or_empty, without, without_spaces
 
 # Code points of the normalised text that the prefix hash covers.
 PREFIX = 64
@@ -31,7 +31,7 @@ def _hashed(docs: DataFrame, row: Column, digest_all: bool, prefix: int, broadca
         rows = marked.select("_row", "doc_id", "_n", again.alias("_again"), (full if digest_all else F.when(again, full)).alias("_full"))
     else:
         narrow = keyed.select("_row", "doc_id", "_n", "_len", "_head", full.alias("_full"))
-        rows = narrow.join(marks, ["_len", "_head"], "left").select(
+        rows = narrow.join(shuffled(marks), ["_len", "_head"], "left").select(
             "_row", "doc_id", "_n", again.alias("_again"), (F.col("_full") if digest_all else F.when(again, F.col("_full"))).alias("_full")
         )
     return stored(rows, "exact-rows")
@@ -44,7 +44,7 @@ def _decided(rows: DataFrame) -> DataFrame:
     groups = again.groupBy("_full").agg(F.count(F.lit(1)).alias("_size"), F.min(order).alias("_best"))
     groups = stored(groups.where("_size > 1").select("_full", "_size", F.col("_best.id").alias("_keep"), F.col("_best.row").alias("_stays")), "exact-groups")
     alone = F.col("_size").isNull()
-    return again.join(groups, "_full", "left").select(
+    return again.join(sized(groups), "_full", "left").select(
         "_row", "doc_id", "_full",
         F.coalesce("_size", F.lit(1).cast("long")).alias("_size"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("_keep")).alias("_keep"),
