@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.randomness import uniform
 from cohortline.operators import logistic, resampling, tables
-from cohortline.operators.design import factor
+from cohortline.operators.design import factor, number
 from cohortline.plans import ascertainment
 from tests.helpers import by_key, rows
 
@@ -148,3 +148,23 @@ def test_term_totals_of_a_fit_equal_those_of_the_outcome(spark):
     assert set(got) == {"all", "fa", "fb", "fc", "x", "gu:x", "gv:x"} and want["all"][0] == 400
     for term, (n, total) in want.items():
         assert got[term][0] == n and abs(got[term][1] - total) < 1e-3
+
+
+def test_binomial_fit_with_many_levels_of_one_outcome_and_a_redundant_column(spark):
+    from cohortline.operators.logistic import fit_binomial, predict, term_totals
+
+    # two in three days have one outcome only, and z repeats x
+    rows_ = [(int(d % 3 == 1 or (d % 3 == 2 and k % 2)), str(d), "uvw"[k % 3], float(k % 4), float(k % 4)) for d in range(120) for k in range(5)]
+    df = spark.createDataFrame(rows_, "y int, day string, g string, x double, z double")
+    terms = [factor("g"), number("x"), number("z"), factor("day")]
+    want = {r.term: (r.n, r.total) for r in term_totals(df, terms, "y").collect()}
+    got = {r.term: (r.n, r.total) for r in term_totals(predict(fit_binomial(df, "y", terms), df), terms, "prediction").collect()}
+    assert set(got) == set(want) and all(got[t][0] == n and abs(got[t][1] - total) < 1e-3 for t, (n, total) in want.items())
+
+
+def test_binomial_sums_of_many_tasks_are_added_up_by_tasks(spark, monkeypatch):
+    df = spark.createDataFrame([("abc"[k % 3], k % 5, int(k * 7 % 11 < 4)) for k in range(200)], "g string, v int, y int")
+    fits = [logistic.fit_binomial(df, "y", [factor("g"), number("v")])]
+    monkeypatch.setattr(logistic, "FEW_PARTS", 0)
+    fits.append(logistic.fit_binomial(df, "y", [factor("g"), number("v")]))
+    assert all(f.converged and f.steps < 10 for f in fits) and abs(fits[0].beta - fits[1].beta).max() < 1e-9 and abs(fits[0].of_level - fits[1].of_level).max() < 1e-9
