@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +275,17 @@ def test_patterns_hold_an_entry_per_term_not_a_number_per_column(spark):
     got = hazard._evaluate(patterns, {"f": beta})["f"]
     want = brute_force(df.s.to_numpy(), df.t.to_numpy(), df.e.to_numpy(), x, beta)
     assert all(np.allclose(a, b, atol=1e-8) for a, b in zip(got[1:], want[1:]))
+
+
+def test_blocks_of_a_fit_leave_out_strata_that_add_a_constant(spark):
+    rng = np.random.default_rng(8)
+    df = pd.DataFrame({"f": rng.choice(["p", "q"], 400), "s": rng.integers(0, 60, 400), "t": rng.integers(1, 6, 400) / 1.0, "e": rng.integers(0, 2, 400), "a": rng.integers(0, 3, 400)})
+    df.loc[df.s < 40, "a"] = df.s % 3  # alike within a stratum
+    patterns = hazard.collapse_patterns(spark.createDataFrame(df), [number("a")], F.col("f"), F.col("s"), F.col("t"), F.col("e"), buckets=3)
+    packed, betas = patterns.laid_out(), {"p": np.array([0.7]), "q": np.array([-0.4])}
+    plain, own = hazard._evaluate(patterns, betas), hazard._evaluate(packed, betas)
+    assert all(np.allclose(x, y, rtol=1e-9) for f in betas for x, y in zip(plain[f], own[f]))
+    stored = [pa.ipc.open_stream(r.data).read_all().num_rows for r in packed.packed.collect()]
+    assert sum(stored) <= (df.s >= 40).sum() and all(v < 0 for v in packed.fixed.values())
+    # a fit that has ended is not read
+    assert "fit" in packed.sums({"p": betas["p"]})._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1]
